@@ -49,30 +49,32 @@ def curve(x: Column, points: Curve) -> Column:
     return out.when(x.isNotNull(), F.lit(float(last_y)))
 
 
-def unit(c: Column) -> Column:
-    """Clamp to 0..1, keeping null."""
-    return F.when(c < 0.0, F.lit(0.0)).when(c > 1.0, F.lit(1.0)).otherwise(c)
+def percentage_gap(subject: Column, comp: Column) -> Column:
+    """Relative difference; null unless the subject value is positive."""
+    s, c = subject.cast("double"), comp.cast("double")
+    return F.when(s > 0, F.abs(s - c) / s)
+
+
+def difference_gap(subject: Column, comp: Column) -> Column:
+    return F.abs(subject.cast("double") - comp.cast("double"))
 
 
 def percentage_similarity(subject: Column, comp: Column, points: Curve) -> Column:
-    """Similarity of the relative difference; null unless the subject value is positive."""
-    s, c = subject.cast("double"), comp.cast("double")
-    return unit(curve(F.when(s > 0, F.abs(s - c) / s), points))
+    return curve(percentage_gap(subject, comp), points)
 
 
 def difference_similarity(subject: Column, comp: Column, points: Curve) -> Column:
-    return unit(curve(F.abs(subject.cast("double") - comp.cast("double")), points))
+    return curve(difference_gap(subject, comp), points)
 
 
 def code(c: Column) -> Column:
     """Normalised code: trimmed and upper-cased, null when blank."""
-    text = F.upper(F.trim(c))
-    return F.when(text != "", text)
+    return F.nullif(F.upper(F.trim(c)), F.lit(""))
 
 
-def categorical_similarity(subject: Column, comp: Column) -> Column:
-    """Equal 1.0, same first two characters 0.65, same first character 0.4, else 0; null if blank."""
-    s, c = code(subject), code(comp)
+def categorical(s: Column, c: Column) -> Column:
+    """Similarity of two normalised codes: equal 1.0, same first two characters 0.65, same first
+    character 0.4, else 0; null if either is missing."""
     two = (F.length(s) >= 2) & (F.length(c) >= 2) & (F.substring(s, 1, 2) == F.substring(c, 1, 2))
     return F.when(
         s.isNotNull() & c.isNotNull(),
@@ -83,7 +85,12 @@ def categorical_similarity(subject: Column, comp: Column) -> Column:
     )
 
 
-def rank_of(c: Column, ranks: Mapping[str, int]) -> Column:
+def categorical_similarity(subject: Column, comp: Column) -> Column:
+    return categorical(code(subject), code(comp))
+
+
+def rank_of(c: Column, ranks: Mapping[str, int] = GRADE_RANK) -> Column:
+    """Rank of a normalised code, null when unranked."""
     out = None
     for letter, rank in ranks.items():
         hit = c == letter
@@ -91,33 +98,36 @@ def rank_of(c: Column, ranks: Mapping[str, int]) -> Column:
     return out
 
 
+def rank_gap(s: Column, c: Column, s_rank: Column, c_rank: Column) -> Column:
+    """Rank difference of two normalised codes; zero for equal codes even when unranked."""
+    return F.when(s == c, F.lit(0.0)).otherwise(F.abs(s_rank - c_rank).cast("double"))
+
+
 def ranked_code_similarity(subject: Column, comp: Column, ranks: Mapping[str, int] = GRADE_RANK) -> Column:
-    """Equal codes 1.0 even when unranked, else by rank difference; null if blank or unranked."""
+    """Equal codes 1.0, else by rank difference; null if blank, or unranked and different."""
     s, c = code(subject), code(comp)
-    return F.when(s == c, F.lit(1.0)).otherwise(
-        unit(curve(F.abs(rank_of(s, ranks) - rank_of(c, ranks)).cast("double"), RANK_CURVE))
-    )
+    return curve(rank_gap(s, c, rank_of(s, ranks), rank_of(c, ranks)), RANK_CURVE)
 
 
 def condition_similarity(subject: Column, comp: Column) -> Column:
     return F.coalesce(ranked_code_similarity(subject, comp), categorical_similarity(subject, comp))
 
 
-def first_comparable(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    """Categorical similarity of the first attribute present on both sides."""
-    return F.coalesce(*[categorical_similarity(s, c) for s, c in pairs])
+def distance_ratio(distance: Column, max_distance: float) -> Column:
+    """Distance as a share of the search radius, held at one; null without a radius."""
+    if max_distance <= 0:
+        return F.lit(None).cast("double")
+    return F.when(distance.isNotNull(), F.least(F.lit(1.0), distance / F.lit(float(max_distance))))
 
 
 def distance_similarity(distance: Column, max_distance: float) -> Column:
-    if max_distance <= 0:
-        return F.lit(None).cast("double")
-    return unit(curve(unit(distance / F.lit(float(max_distance))), DISTANCE_CURVE))
+    return curve(distance_ratio(distance, max_distance), DISTANCE_CURVE)
 
 
 def jaccard(subject_codes: Column, comp_codes: Column) -> Column:
-    """Overlap of two code sets (arrays); null when both are empty."""
+    """Overlap of two code sets (arrays without duplicates); null when both are empty."""
     shared = F.size(F.array_intersect(subject_codes, comp_codes))
-    either = F.size(F.array_union(subject_codes, comp_codes))
+    either = F.size(subject_codes) + F.size(comp_codes) - shared
     return F.when(either > 0, shared / either)
 
 

@@ -13,7 +13,7 @@ from parcelwise.functions import columns as K
 from parcelwise.functions.geo import has_location
 from parcelwise.operators.features import profile_a, profile_b
 from parcelwise.operators.keyed import first_per_key, newest_year
-from parcelwise.operators.scoring import FACT_COLUMNS
+from parcelwise.operators.scoring import score_facts
 
 #: Facts shown in reports.
 DISPLAY_COLUMNS = (
@@ -36,7 +36,7 @@ def _finish(df: DataFrame) -> DataFrame:
             "window_areas": F.coalesce(F.col("window_areas"), F.array().cast("array<double>")),
         }
     )
-    return df.withColumn("facts", F.struct(*FACT_COLUMNS))
+    return df.withColumn("facts", score_facts())
 
 
 def primary_building(building: DataFrame) -> DataFrame:
