@@ -173,13 +173,13 @@ def comps_ctes(county: str, max_distance: float, cap: int, max_results: int, min
   near AS (
     SELECT s.key AS subject_key, s.scope AS scope, c.key AS comp_key,
            3959.0 * acos(least(1.0, greatest(-1.0, {cosine}))) AS distance,
-           round({haversine}, 6) AS od, c.lat AS clat, c.lon AS clon, c.areas AS careas
-    FROM subjects s JOIN facts c ON c.scope = s.scope AND c.key <> s.key
+           round({haversine}, 6) AS od, c.site AS csite
+    FROM subjects s JOIN (SELECT *, min(key) OVER (PARTITION BY scope, lat, lon, areas) AS site FROM facts) c ON c.scope = s.scope AND c.key <> s.key
      AND c.lat BETWEEN s.lat - {d} / 69.0 AND s.lat + {d} / 69.0
      AND c.lon BETWEEN s.lon - {d} / (69.0 * cos(radians(s.lat))) AND s.lon + {d} / (69.0 * cos(radians(s.lat)))
      AND (s.wanted IS NULL OR len(list_filter(c.areas, lambda a: a >= s.wanted * 0.5 AND a <= s.wanted * 1.5)) > 0)),
   nearest AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY od, clat, clon, careas, comp_key) AS nth
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY od, csite, comp_key) AS nth
                    FROM near WHERE distance <= {d}) t WHERE nth <= {cap}),
   moded AS (
     SELECT n.subject_key, n.scope, n.comp_key, n.distance,

@@ -17,6 +17,33 @@ def allow_group_limit(spark: SparkSession, k: int) -> None:
         spark.conf.set(GROUP_LIMIT_CONF, str(k))
 
 
+MIN_PARTITION_CONF = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
+
+def keep_parallel(spark: SparkSession) -> None:
+    """Let adaptive execution keep small shuffle partitions apart.
+
+    A cell join reads few bytes per task and produces hundreds of pairs per row, so merging its
+    partitions up to Spark's default megabyte would leave most cores idle. Partitions still merge
+    when there are more of them than cores.
+    """
+    if spark.conf.get(MIN_PARTITION_CONF, "1MB").lower() in ("1mb", "1m", "1048576", "1048576b"):
+        spark.conf.set(MIN_PARTITION_CONF, "16KB")
+
+
+HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compile_in_small_methods(spark: SparkSession) -> None:
+    """Give up whole-stage code for a stage whose methods the JVM would refuse to compile.
+
+    HotSpot leaves methods above 8000 bytes to its interpreter. The score of a pair is longer than
+    that; evaluated as split projections it runs about four times faster.
+    """
+    if spark.conf.get(HUGE_METHOD_CONF, "65535") == "65535":
+        spark.conf.set(HUGE_METHOD_CONF, "8000")
+
+
 def local_session(cores: int | str = 8, name: str = "parcelwise") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     return (
