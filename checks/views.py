@@ -263,12 +263,12 @@ VIEWS: dict[str, str] = {
         SELECT lpad(cast(l_orderkey AS string), 12, '0') AS prop_id,
                cast(l_suppkey AS string) AS tax_unit_code, concat('Unit ', cast(l_suppkey AS string)) AS tax_unit_name,
                CASE WHEN l_linenumber = 1 THEN NULL ELSE cast(l_extendedprice AS decimal(14,2)) END AS assessed_value,
-               cast(l_extendedprice * 0.5 AS decimal(14,2)) AS taxable_value,
+               cast(cast(l_extendedprice AS decimal(14,2)) - cast(l_quantity AS decimal(14,2)) AS decimal(14,2)) AS taxable_value,
                CASE WHEN l_tax < 0.03 THEN cast(l_quantity * 10 AS decimal(14,2)) ELSE cast(0 AS decimal(14,2)) END AS hs_amt,
                CASE WHEN l_returnflag = 'R' THEN cast(l_quantity AS decimal(14,2)) END AS ov65_amt,
                cast(0 AS decimal(14,2)) AS dp_amt,
-               CASE WHEN l_linenumber = 7 THEN NULL ELSE cast(l_extendedprice * 1.5 AS decimal(14,2)) END AS market_value,
-               cast(l_extendedprice * CASE WHEN l_linestatus = 'O' THEN 1.25 ELSE 1.0 END AS decimal(14,2)) AS appraised_value,
+               CASE WHEN l_linenumber = 7 THEN NULL ELSE cast(cast(l_extendedprice AS decimal(14,2)) + CASE WHEN l_tax > 0.07 THEN 0 ELSE 1000 END AS decimal(14,2)) END AS market_value,
+               cast(cast(l_extendedprice AS decimal(14,2)) + CASE WHEN l_linestatus = 'O' THEN 500 ELSE 0 END AS decimal(14,2)) AS appraised_value,
                [position] AS pos
         FROM {lineitem}""",
     "v_attribute": """

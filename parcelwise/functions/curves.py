@@ -91,11 +91,8 @@ def categorical_similarity(subject: Column, comp: Column) -> Column:
 
 def rank_of(c: Column, ranks: Mapping[str, int] = GRADE_RANK) -> Column:
     """Rank of a normalised code, null when unranked."""
-    out = None
-    for letter, rank in ranks.items():
-        hit = c == letter
-        out = F.when(hit, F.lit(rank)) if out is None else out.when(hit, F.lit(rank))
-    return out
+    table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    return F.try_element_at(table, c)
 
 
 def rank_gap(s: Column, c: Column, s_rank: Column, c_rank: Column) -> Column:

@@ -4,26 +4,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_MILES = 3959.0
 MILES_PER_DEGREE = 69.0
 
 
+def _when_known(value: Column, *inputs: Column) -> Column:
+    """``least`` and ``greatest`` pass over nulls, so a missing coordinate is tested for explicitly."""
+    known = inputs[0].isNotNull()
+    for c in inputs[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, value)
+
+
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance, haversine form (exact for nearby points)."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_lat, half_lon = F.sin((p2 - p1) / 2), F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     chord = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.lit(EARTH_MILES) * 2 * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    miles = F.lit(EARTH_MILES) * 2 * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    return _when_known(miles, lat1, lon1, lat2, lon2)
 
 
 def cosine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance, law-of-cosines form with the cosine held inside -1..1."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     cosine = F.cos(p1) * F.cos(p2) * F.cos(F.radians(lon2) - F.radians(lon1)) + F.sin(p1) * F.sin(p2)
-    return F.lit(EARTH_MILES) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    miles = F.lit(EARTH_MILES) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    return _when_known(miles, lat1, lon1, lat2, lon2)
 
 
 def has_location(lat: Column, lon: Column) -> Column:
@@ -38,37 +48,57 @@ def bounding_box(lat: Column, lon: Column, at_lat: Column, at_lon: Column, miles
     return lat.between(at_lat - d_lat, at_lat + d_lat) & lon.between(at_lon - d_lon, at_lon + d_lon)
 
 
-def ring_centroid(ring: Column) -> Column:
-    """Area centroid of a closed or open ring ``array<struct<x,y>>`` as ``struct<x,y>``.
+def with_ring_centroid(df: DataFrame, ring: str, out: str = "centroid") -> DataFrame:
+    """Add the area centroid of a closed or open ring ``array<struct<x,y>>`` as ``struct<x,y>``.
 
-    The ring is shifted to its first point before summing, so large planar coordinates keep
-    their digits. A ring without area (a point, a line) falls back to the mean of its points.
+    The ring is shifted to its first point before summing, so large planar coordinates keep their
+    digits. A ring without area (a point, a line) falls back to the mean of its points. Each step is
+    a column of its own: the arrays are walked once, whatever refers to the result.
     """
-    origin = F.element_at(ring, 1)
-    pts = F.transform(
-        ring,
-        lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y")),
+    origin = F.element_at(F.col(ring), 1)
+    shifted = F.transform(
+        ring, lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y"))
     )
-    nxt = F.concat(F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 1, 1))
-    cross = F.zip_with(
+    pts = F.col("_pts")
+    following = F.concat(F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 1, 1))
+    edges = F.zip_with(
         pts,
-        nxt,
+        following,
         lambda a, b: F.struct(
             (a["x"] * b["y"] - b["x"] * a["y"]).alias("w"),
             (a["x"] + b["x"]).alias("sx"),
             (a["y"] + b["y"]).alias("sy"),
+            a["x"].alias("x"),
+            a["y"].alias("y"),
         ),
     )
-
-    def total(of):
-        return F.aggregate(cross, F.lit(0.0), lambda acc, e: acc + of(e))
-
-    twice_area = total(lambda e: e["w"])
-    mean = lambda axis: F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p[axis]) / F.size(pts)
-    cx = F.when(twice_area != 0, total(lambda e: e["w"] * e["sx"]) / (3 * twice_area)).otherwise(mean("x"))
-    cy = F.when(twice_area != 0, total(lambda e: e["w"] * e["sy"]) / (3 * twice_area)).otherwise(mean("y"))
-    return F.when(
-        F.size(ring) > 0, F.struct((cx + origin["x"]).alias("x"), (cy + origin["y"]).alias("y"))
+    zero = F.lit(0.0)
+    sums = F.aggregate(
+        edges,
+        F.struct(*[zero.alias(n) for n in ("w", "mx", "my", "x", "y")]),
+        lambda acc, e: F.struct(
+            (acc["w"] + e["w"]).alias("w"),
+            (acc["mx"] + e["w"] * e["sx"]).alias("mx"),
+            (acc["my"] + e["w"] * e["sy"]).alias("my"),
+            (acc["x"] + e["x"]).alias("x"),
+            (acc["y"] + e["y"]).alias("y"),
+        ),
+    )
+    m, n = F.col("_sums"), F.size("_pts")
+    # The shoelace weights add up to twice the area.
+    cx = F.when(m["w"] != 0, m["mx"] / (3 * m["w"])).otherwise(m["x"] / n)
+    cy = F.when(m["w"] != 0, m["my"] / (3 * m["w"])).otherwise(m["y"] / n)
+    return (
+        df.withColumn("_pts", F.when(F.size(ring) > 0, shifted))
+        .withColumn("_sums", sums)
+        .withColumn(
+            out,
+            F.when(
+                F.col("_sums").isNotNull(),
+                F.struct((cx + origin["x"]).alias("x"), (cy + origin["y"]).alias("y")),
+            ),
+        )
+        .drop("_pts", "_sums")
     )
 
 

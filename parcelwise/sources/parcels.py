@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import columns as K
-from parcelwise.functions.geo import TEXAS_CENTRAL, lambert_to_wgs84, ring_centroid
+from parcelwise.functions.geo import TEXAS_CENTRAL, lambert_to_wgs84, with_ring_centroid
 from parcelwise.sources.delimited import resolve
 
 # Column names under which a parcel table may carry its account and parcel id.
@@ -16,7 +16,7 @@ PARCEL_COLUMNS = ("PARCEL_ID", "PARCELID", "PRCL_ID", "HCAD_NUM")
 
 def locate(parcels: DataFrame, ring: str = "ring", planar: bool = True, crs: dict = TEXAS_CENTRAL) -> DataFrame:
     """Add ``latitude`` and ``longitude`` of the parcel centroid; ``planar=False`` for degree rings."""
-    centre = parcels.withColumn("_c", ring_centroid(F.col(ring)))
+    centre = with_ring_centroid(parcels, ring, "_c")
     if planar:
         centre = centre.withColumn("_g", lambert_to_wgs84(F.col("_c.x"), F.col("_c.y"), crs))
         return centre.withColumns({"latitude": F.col("_g.lat"), "longitude": F.col("_g.lon")}).drop("_c", "_g")
@@ -37,6 +37,9 @@ def staged_coordinates(located: DataFrame, order_by: str) -> DataFrame:
     parcel = _first_present(located.columns, PARCEL_COLUMNS)
     parcel_id = K.clean_text(F.col(parcel).cast("string")) if parcel else F.lit("")
     known = lambda c: c.isNotNull() & ~F.isnan(c.cast("double"))
+    # Rows without a position are passed over inside the aggregate: as a filter the test would be
+    # pushed below the geometry and have it computed twice.
+    usable = known(F.col("latitude")) & known(F.col("longitude"))
     return (
         located.select(
             K.clean_text(F.col(account).cast("string"), 20).alias("account_number"),
@@ -45,9 +48,10 @@ def staged_coordinates(located: DataFrame, order_by: str) -> DataFrame:
             parcel_id.alias("parcel_id"),
             F.col(order_by).alias("_order"),
         )
-        .filter((F.col("account_number") != "") & known(F.col("latitude")) & known(F.col("longitude")))
+        .filter(F.col("account_number") != "")
         .groupBy("account_number")
-        .agg(F.max_by(F.struct("latitude", "longitude", "parcel_id"), "_order").alias("_s"))
+        .agg(F.max_by(F.struct("latitude", "longitude", "parcel_id"), F.when(usable, F.col("_order"))).alias("_s"))
+        .filter(F.col("_s").isNotNull())
         .select("account_number", "_s.*")
     )
 
