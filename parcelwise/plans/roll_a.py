@@ -12,7 +12,7 @@ from parcelwise.operators.rooms import KEY as BUILDING_KEY
 from parcelwise.operators.rooms import fixture_rows, fixtures_pivot, total_baths
 from parcelwise.schemas import ASSESSMENT_HISTORY, BUILDING, COUNTY_A, EXTRA_FEATURE, PROPERTY, conform
 from parcelwise.sources import files
-from parcelwise.sources.delimited import pick, read_delimited, read_many
+from parcelwise.sources.delimited import aliased, pick, read_aliased, read_delimited
 
 # Header names of each column, in order of preference.
 PROPERTY_SOURCES = {
@@ -68,6 +68,7 @@ FEATURE_SOURCES = {
     "value": ("uts", "asd_val"),
     "area": ("area",),
 }
+FIXTURE_SOURCES = {"acct": ("acct",), "bld_num": ("bld_num",), "type": ("type",), "units": ("units",)}
 
 _TEXT_10 = (
     "building_type", "building_style", "building_class", "quality_code", "condition_code",
@@ -77,13 +78,13 @@ _BUILDING_INTS = ("year_built", "year_remodeled", "effective_year", "fireplaces"
 _BUILDING_DECIMALS = ("heat_area", "base_area", "gross_area", "stories")
 
 
-def _aliased(raw: DataFrame, sources: dict[str, tuple[str, ...]]) -> DataFrame:
-    return raw.select(*[pick(raw, names).alias(name) for name, names in sources.items()], "pos")
-
-
 def stage_property(raw: DataFrame) -> DataFrame:
     """Property rows with an ``outcome``: rows without account or of a non-residential class are skipped."""
-    rows = _aliased(raw, PROPERTY_SOURCES)
+    return stage_property_rows(aliased(raw, PROPERTY_SOURCES))
+
+
+def stage_property_rows(rows: DataFrame) -> DataFrame:
+    """As :func:`stage_property`, from columns that already carry their target names."""
     account = K.clean_text(F.col("account_number"), 20)
     number = K.clean_text(F.col("street_number"), 16)
     street = K.street_with_suffix(F.col("street_name"), F.col("street_suffix"))
@@ -185,7 +186,10 @@ def stage_buildings(raw: DataFrame, prop: DataFrame, pivot: DataFrame) -> DataFr
 
     ``pivot`` is :func:`fixtures_pivot`'s result; rows of unknown accounts are invalid.
     """
-    rows = _aliased(raw, BUILDING_SOURCES)
+    return stage_building_rows(aliased(raw, BUILDING_SOURCES), prop, pivot)
+
+
+def stage_building_rows(rows: DataFrame, prop: DataFrame, pivot: DataFrame) -> DataFrame:
     typed = rows.select(
         K.clean_text(F.col("account_number"), 20).alias("account_number"),
         F.coalesce(K.to_int(F.col("building_number")), F.lit(1)).alias("building_number"),
@@ -225,7 +229,10 @@ def building_table(staged: DataFrame) -> DataFrame:
 
 
 def stage_features(raw: DataFrame, prop: DataFrame) -> DataFrame:
-    rows = _aliased(raw, FEATURE_SOURCES)
+    return stage_feature_rows(aliased(raw, FEATURE_SOURCES), prop)
+
+
+def stage_feature_rows(rows: DataFrame, prop: DataFrame) -> DataFrame:
     typed = rows.select(
         K.clean_text(F.col("account_number"), 20).alias("account_number"),
         K.to_int(F.col("feature_number")).alias("feature_number"),
@@ -363,12 +370,15 @@ def load_roll(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Staged and final tables of one roll export directory."""
     paths = files.list_files(spark, root, ".txt")
     files.require_files(files.missing_account_files(paths) + files.missing_building_files(paths), root)
-    one = lambda table: read_many(spark, files.table_files(paths, table), delimiter="\t", encoding="latin-1")
-    staged_property = stage_property(one(files.ACCOUNT_STEM))
+
+    def rows(table: str, sources: dict) -> DataFrame:
+        return read_aliased(spark, files.table_files(paths, table), sources, delimiter="\t", encoding="latin-1")
+
+    staged_property = stage_property_rows(rows(files.ACCOUNT_STEM, PROPERTY_SOURCES))
     prop = property_table(staged_property)
-    pivot = fixtures_pivot(fixture_rows(one(files.FIXTURE_STEM)))
-    staged_building = stage_buildings(one(files.BUILDING_STEM), prop, pivot)
-    staged_feature = stage_features(one(files.FEATURE_STEM), prop)
+    pivot = fixtures_pivot(fixture_rows(rows(files.FIXTURE_STEM, FIXTURE_SOURCES)))
+    staged_building = stage_building_rows(rows(files.BUILDING_STEM, BUILDING_SOURCES), prop, pivot)
+    staged_feature = stage_feature_rows(rows(files.FEATURE_STEM, FEATURE_SOURCES), prop)
     return {
         "staged_property": staged_property,
         "staged_building": staged_building,

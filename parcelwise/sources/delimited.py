@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +33,7 @@ def position() -> Column:
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """``utf-8`` when the head of the file decodes cleanly, else ``latin-1`` (which always does)."""
     head = spark.read.text(path).limit(SAMPLE_LINES)
-    broken = head.filter(F.col("value").contains("�")).limit(1).count()
+    broken = head.filter(~F.is_valid_utf8("value")).limit(1).count()
     return ENCODINGS[1] if broken else ENCODINGS[0]
 
 
@@ -54,8 +54,7 @@ def read_delimited(
 ) -> DataFrame:
     """All-text scan with a ``pos`` column. Quote characters are ordinary text, short rows give nulls.
 
-    Several paths must share one header; files with different headers are read one by one and joined
-    with :func:`read_many`.
+    Several paths must share one header; files with different headers go through :func:`read_aliased`.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     delimiter = delimiter or sniff_delimiter(spark, listed[0])
@@ -154,10 +153,15 @@ def valid_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     return good.limit(limit) if limit else good
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
-    """Several files of one table; headers may differ, a column absent in one file is null there."""
-    frames = [read_delimited(spark, p, **options) for p in paths]
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+def aliased(raw: DataFrame, sources: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Text columns under their target names, and ``pos``."""
+    return raw.select(*[pick(raw, names).alias(name) for name, names in sources.items()], "pos")
+
+
+def read_aliased(spark: SparkSession, paths: Sequence[str], sources: Mapping[str, Sequence[str]], **options) -> DataFrame:
+    """Several files of one table. Headers may differ: names are resolved file by file, then the rows joined."""
+    out = None
+    for path in paths:
+        rows = aliased(read_delimited(spark, path, **options), sources)
+        out = rows if out is None else out.unionByName(rows)
     return out
