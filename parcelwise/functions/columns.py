@@ -29,23 +29,22 @@ QUALITY_LABELS = {
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 
 MONEY = "decimal(14,2)"
+#: Wide enough to hold any figure of a roll before it is cut to its column.
+WIDE = "decimal(38,18)"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 
-
-def _nonempty(c: Column) -> Column:
-    return F.when(c != "", c)
+# White space, and control characters that never belong in a text.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+CONTROLS = "".join(map(chr, range(32))) + "\x7f\\"
 
 
-def _when_number(c: Column, pattern: str = NUMBER_PATTERN) -> Column:
-    """The trimmed text when it is a plain number, else null."""
-    text = strip(c)
-    return F.when(text.rlike(pattern), text)
+def _nonempty(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_text(c: Column, max_len: int | None = None) -> Column:
@@ -58,31 +57,37 @@ def clean_text(c: Column, max_len: int | None = None) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Trim and squeeze inner white-space runs to one blank."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    blanks = F.trim(F.translate(c, WHITE_SPACE, " " * len(WHITE_SPACE)))
+    # Most values hold no run, so the pattern is rarely needed.
+    return F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks)
 
 
 def neutralise_controls(c: Column) -> Column:
     """Replace control characters, DEL and backslash by blanks, then trim."""
-    return clean_text(F.regexp_replace(c, r"[\x00-\x1f\x7f\\]", " "))
+    return clean_text(F.translate(c, CONTROLS, " " * len(CONTROLS)))
 
 
 def to_int(c: Column) -> Column:
-    """Whole number through a float (``"123.90"`` gives 123), null when unparsable."""
-    return _when_number(c).try_cast("double").try_cast("int")
+    """Whole number through a fraction (``"123.90"`` gives 123), null when unparsable.
+
+    A decimal cast, unlike a float cast, takes no type suffixes and no NaN.
+    """
+    return strip(c).try_cast(WIDE).try_cast("int")
 
 
 def to_strict_int(c: Column) -> Column:
-    """Whole number without the float detour (``"123.0"`` is null)."""
-    return _when_number(c, INTEGER_PATTERN).try_cast("int")
+    """Whole number without the detour (``"123.0"`` is null)."""
+    return strip(c).try_cast("int")
 
 
 def to_decimal(c: Column, dtype: str = MONEY) -> Column:
     """Decimal after dropping ``$`` and thousands commas, null when unparsable."""
-    return _when_number(F.regexp_replace(c, "[$,]", "")).try_cast(dtype)
+    return F.translate(strip(c), "$,", "").try_cast(dtype)
 
 
 def to_double(c: Column) -> Column:
-    return _when_number(c).try_cast("double")
+    text = strip(c)
+    return F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
 
 
 def to_bool(c: Column) -> Column:
@@ -91,13 +96,13 @@ def to_bool(c: Column) -> Column:
 
 def implied_decimal(c: Column, places: int, dtype: str = MONEY) -> Column:
     """Digits with ``places`` implied decimals (``"2833677"`` with 2 is 28336.77)."""
-    number = _when_number(c).try_cast("decimal(28,6)")
-    return (number / F.lit(10**places).cast("decimal(10,0)")).try_cast(dtype)
+    unit = F.lit(f"{10.0 ** -places:.{places}f}").cast(f"decimal({places + 1},{places})")
+    return (strip(c).try_cast("decimal(28,6)") * unit).try_cast(dtype)
 
 
 def literal_decimal(c: Column, dtype: str = MONEY) -> Column:
     """Digits that carry their own decimal point, or none at all."""
-    return _when_number(c).try_cast(dtype)
+    return strip(c).try_cast(dtype)
 
 
 def int_or_null(c: Column) -> Column:

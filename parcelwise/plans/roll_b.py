@@ -74,18 +74,30 @@ def characteristics(attributes: DataFrame) -> DataFrame:
     not appear. Bathrooms are the full baths only.
     """
     kind, value, pos = F.col("attribute_type"), F.col("attribute_value"), F.col("pos")
-    baths, halves = K.full_baths(value), K.half_baths(value)
-    mapped = attributes.filter(
-        kind.isin(*WIDE_ATTRIBUTES) | ((kind == PLUMBING) & baths.isNotNull())
+    is_plumbing = kind == PLUMBING
+    # Reading the plumbing text costs four patterns: once per row, and only where it is plumbing.
+    staged = attributes.withColumns(
+        {
+            "_full": F.when(is_plumbing, K.full_baths(value)),
+            "_half": F.when(is_plumbing, K.half_baths(value)),
+        }
     )
+    baths, halves = F.col("_full"), F.col("_half")
     picks = []
     for name, column in WIDE_ATTRIBUTES.items():
         usable = K.to_strict_int(value) if column in COUNT_COLUMNS else F.when(value != "", value)
         picks.append(first_value(usable, pos, (kind == name) & usable.isNotNull()).alias(column))
-    plumbing = (kind == PLUMBING) & baths.isNotNull()
+    plumbing = baths.isNotNull()
     picks.append(first_value(baths, pos, plumbing).cast("decimal(4,2)").alias("bathrooms"))
     picks.append(first_value(halves, pos, plumbing).alias("half_baths"))
-    wide = mapped.groupBy(*IMPROVEMENT_KEY).agg(*picks, F.min("source_file").alias("source_file"))
+    # Whether anything usable or mapped was met is counted in the same pass: as a filter it would be
+    # pushed below the patterns and have them run twice.
+    known = F.count_if(kind.isin(*WIDE_ATTRIBUTES) | plumbing).alias("_known")
+    wide = (
+        staged.groupBy(*IMPROVEMENT_KEY)
+        .agg(*picks, F.min("source_file").alias("source_file"), known)
+        .filter("_known > 0")
+    )
     text = [c for c in WIDE_ATTRIBUTES.values() if c not in COUNT_COLUMNS]
     return conform(wide.withColumns({c: F.coalesce(c, F.lit("")) for c in text}), CHARACTERISTIC)
 

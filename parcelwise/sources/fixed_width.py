@@ -109,7 +109,8 @@ FILES = {
 
 def slice_lines(lines: DataFrame, layout: Sequence[Slice], line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Cut the text column ``line`` into the layout's typed columns; blank lines are dropped."""
-    text = F.regexp_replace(F.col(line), r"[\r\n]+$", "")
+    # A carriage return at the end of the last field goes with its trailing white space.
+    text = F.col(line)
     cut = [
         READERS[s.kind](F.substring(text, s.start + 1, s.end - s.start)).alias(s.name) for s in layout
     ]

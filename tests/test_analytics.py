@@ -29,9 +29,10 @@ def scored(spark, spec, subject, comp, distance=0.0):
     pair = sides.filter("side='s'").select(F.col("f").alias("subject")).crossJoin(
         sides.filter("side='c'").select(F.col("f").alias("comp"))
     ).withColumn("distance", F.lit(distance))
-    from parcelwise.operators.scoring import score_breakdown
+    from parcelwise.operators.scoring import with_score_breakdown
 
-    return score_pairs(pair, spec, 10.0).withColumn("breakdown", score_breakdown(spec)).first()
+    out = with_score_breakdown(score_pairs(pair, spec, 10.0), spec)
+    return out.withColumnRenamed("score_breakdown", "breakdown").first()
 
 
 HOUSE = {
