@@ -22,6 +22,7 @@ from parcelwise.operators.equity import comp_deltas
 from parcelwise.operators.comps import display_rank
 from parcelwise.plans.report import SharedTables, protest_comps, protest_report
 from parcelwise.operators.scoring import COUNTY_A_SPEC
+from parcelwise.session import cut_lineage
 from parcelwise.sinks import exports as X
 
 
@@ -539,7 +540,7 @@ def report_heads(spark, d):
 
 @query("report_lines")
 def report_lines(spark, d):
-    facts = a_facts(spark, d)
+    facts = cut_lineage(a_facts(spark, d))
     shared = SharedTables(view(spark, d, "v_history"), view(spark, d, "v_unit_rate"), view(spark, d, "v_jur"))
     comps = protest_comps(facts, facts, COUNTY_A_SPEC, 52, max_distance=2.0)
     return X.exploded_lines(protest_report(facts, comps, shared, "harris")["lines"])

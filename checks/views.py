@@ -90,7 +90,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 12 <> 0 THEN cast(900 + (c_custkey % 211) * 10 AS decimal(10,2)) END AS living_area,
                1970 + cast(c_custkey % 50 AS int) AS year_built,
                concat('R', cast(c_custkey % 6 AS string), 'x') AS class_code
-        FROM {customer} CROSS JOIN (SELECT 0 AS y UNION ALL SELECT 1 AS y) AS years
+        FROM {customer}
         WHERE y = 0 OR c_custkey % 5 <> 0""",
     "v_improvement_b": """
         SELECT lpad(cast(p_partkey AS string), 12, '0') AS prop_id,
@@ -98,8 +98,7 @@ VIEWS: dict[str, str] = {
                2024 + y AS tax_year,
                CASE WHEN (p_size + n) % 5 = 0 THEN 'C' ELSE 'R' END AS improvement_type,
                CASE WHEN (p_size + n) % 3 = 0 THEN NULL ELSE 1960 + p_size END AS year_built
-        FROM {part} CROSS JOIN (SELECT 0 AS y UNION ALL SELECT 1 AS y) AS years
-                    CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) AS numbers
+        FROM {part}
         WHERE p_size % 8 <> 0""",
     "v_characteristic_b": """
         SELECT lpad(cast(p_partkey AS string), 12, '0') AS prop_id,
@@ -110,7 +109,7 @@ VIEWS: dict[str, str] = {
                substr('BRVNSTFR', 1 + p_size % 7, 2) AS exterior_wall,
                p_type AS construction_style,
                'SLAB' AS foundation
-        FROM {part} CROSS JOIN (SELECT 0 AS y UNION ALL SELECT 1 AS y) AS years
+        FROM {part}
         WHERE p_size % 9 <> 1""",
     "v_detail_b": """
         SELECT lpad(cast(l_partkey AS string), 12, '0') AS prop_id,
@@ -322,6 +321,14 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
 }
 
+# Views with a copy of every row per tax year (and improvement number): one branch per value.
+for _view, _axes in {"v_account_b": ["y"], "v_improvement_b": ["y", "n"], "v_characteristic_b": ["y"]}.items():
+    _branches = [VIEWS[_view]]
+    for _axis in _axes:
+        _values = (0, 1) if _axis == "y" else (1, 2)
+        _branches = [re.sub(rf"\b{_axis}\b", str(v), b) for b in _branches for v in _values]
+    VIEWS[_view] = " UNION ALL ".join(_branches)
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

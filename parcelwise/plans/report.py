@@ -15,6 +15,7 @@ from parcelwise.operators.equity import comp_deltas, equity_summary
 from parcelwise.operators.history import DEFAULT_YEARS, history_rows
 from parcelwise.operators.scoring import ScoreSpec
 from parcelwise.operators.tax import tax_impact
+from parcelwise.session import cut_lineage
 from parcelwise.sinks.exports import comps_export, report_lines
 
 # The protest search and the number of comps printed.
@@ -39,13 +40,12 @@ def protest_comps(
 ) -> DataFrame:
     """Display-ranked comps with their facts and the difference to the subject.
 
-    The result feeds several branches of a report. On a cluster write it to a table first and hand the
-    read-back frame to :func:`protest_report`, so the search runs once and a lost executor repeats no
-    part of it.
+    The result feeds several branches of a report, so it is written once to the checkpoint folder: the
+    search runs once and a lost executor repeats no part of it.
     """
     floor = clamp_argument(min_score, *PROTEST_MIN_SCORE_BOUNDS)
     comps = find_comps(subjects, facts, spec, max_distance, max_comps, floor, candidate_cap)
-    return display_rank(comp_deltas(with_comp_facts(comps, facts), subjects), max_comps)
+    return cut_lineage(display_rank(comp_deltas(with_comp_facts(comps, facts), subjects), max_comps))
 
 
 def county_rows(df: DataFrame, county: str) -> DataFrame:

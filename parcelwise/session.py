@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -44,6 +46,26 @@ def compile_in_small_methods(spark: SparkSession) -> None:
         spark.conf.set(HUGE_METHOD_CONF, "8000")
 
 
+CHECKPOINT_CONF = "spark.checkpoint.dir"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from there.
+
+    For frames that several branches of a plan read. The files outlive the executors that wrote them.
+    The folder is the one the session names; only a local session may fall back to a scratch folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = 8, name: str = "parcelwise") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     return (
