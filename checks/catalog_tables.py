@@ -325,6 +325,14 @@ def building_facets(spark, d):
     return out.select("account_number", "building_number")
 
 
+@query(
+    "property_facets",
+    f"SELECT account_number FROM {V('v_property')} p WHERE city = 'CITY 3' AND (contains(lower(account_number), 'elm 1') OR contains(lower(address), 'elm 1') OR contains(lower(owner_name), 'elm 1'))",
+)
+def property_facets(spark, d):
+    return S.property_facets(view(spark, d, "v_property"), city="CITY 3", text="Elm 1").select("account_number")
+
+
 @query(
     "csv_safe_projection",
     f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY zipcode NULLS LAST, street_number NULLS LAST, street_name NULLS LAST, account_number) AS nth

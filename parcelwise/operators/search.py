@@ -173,3 +173,18 @@ def building_facets(
     if text:
         df = df.filter(contains_text(F.col("account_number"), text))
     return df
+
+
+def property_facets(
+    prop: DataFrame, *, city: str | None = None, zipcode: str | None = None, text: str | None = None
+) -> DataFrame:
+    """List filters of the property table: city, ZIP, and a text met by account, address or owner."""
+    df = prop
+    if city is not None:
+        df = df.filter(F.col("city") == city)
+    if zipcode is not None:
+        df = df.filter(F.col("zipcode") == zipcode)
+    if text:
+        found = [contains_text(F.col(c), text) for c in ("account_number", "address", "owner_name")]
+        df = df.filter(found[0] | found[1] | found[2])
+    return df
