@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from checks.registry import plain, query
 from checks.views import duck_view as V
 from checks.views import spark_view as view
-from parcelwise.functions import columns as K
 from parcelwise.operators import rooms as R
 from parcelwise.operators.facts import land_totals, newest_loaded_year, primary_building, primary_improvement
 from parcelwise.operators.keyed import append_new, first_per_key, merge_upsert, newest_year
-from parcelwise.operators.loading import (
-    deactivate_other_batches, loaded, match_counts, outcome_counts, update_from,
-)
+from parcelwise.operators.loading import deactivate_other_batches, match_counts, outcome_counts
 from parcelwise.plans import roll_a as A
 from parcelwise.plans import roll_b as B
 from parcelwise.sources import fixed_width as W

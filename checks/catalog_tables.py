@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.catalog_comps import a_comps, a_facts
 from checks.registry import plain, query
 from checks.scoresql import (
-    comps_ctes, curve_sql, dbl, difference_sql, half_up, jaccard_sql, percentage_sql, ranked_sql, category_sql, FACTS_A,
+    comps_ctes, curve_sql, difference_sql, half_up, jaccard_sql, percentage_sql, ranked_sql, category_sql, FACTS_A,
 )
 from checks.views import duck_view as V
 from checks.views import spark_view as view
