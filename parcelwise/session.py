@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,21 +50,31 @@ def compile_in_small_methods(spark: SparkSession) -> None:
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for intermediate data, reachable from every executor.
+
+    A local session that names none gets a folder of its own; a cluster has to name one.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if not folder and context.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="parcelwise-")
+        spark.conf.set(CHECKPOINT_CONF, folder)
+    if not folder:
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there.
+    """Write ``df`` once to the shared folder and go on from the written files.
 
-    For frames that several branches of a plan read. The files outlive the executors that wrote them.
-    The folder is the one the session names; only a local session may fall back to a scratch folder.
+    For frames that several branches of a plan read. The files outlive the executors that wrote them,
+    and Parquet keeps column pruning for the branches, which a checkpoint would lose.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = 8, name: str = "parcelwise") -> SparkSession:
