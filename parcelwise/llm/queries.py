@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import quality
+from parcelwise.llm import decontam, linededup, packing, quality
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,84 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.passes(quality.BASE)).alias("base_failed"),
         quality.passes(quality.POLICY).alias("kept"),
     )
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    lines AS (SELECT r, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM d),
+    keyed AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM lines),
+    frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+    kept AS (
+      SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text
+      FROM keyed WHERE k NOT IN (SELECT k FROM frequent) GROUP BY r)
+    SELECT doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)
+    """,
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines found in ten documents or more."""
+    rows = linededup.strip_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op1_decontamination",
+    r"""
+    WITH item_words AS (
+      SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+    item_starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
+    phrases AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + 9], ' ') AS x FROM item_starts),
+    d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    sizes AS (SELECT DISTINCT l FROM phrases),
+    starts AS (SELECT r, l, w, unnest(range(1, len(w) - l + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= l),
+    cut AS (SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS x FROM starts),
+    met AS (SELECT r, i, l, item_id FROM cut JOIN phrases USING (l, x)),
+    hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + l)) AS p FROM met) GROUP BY r),
+    found AS (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM met),
+    listed AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM found GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(listed.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(hit.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+    """,
+)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a ten-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontam.contaminated_words(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return rows.select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies in the packed sequences."""
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select(
+        F.col("doc").alias("doc_id"),
+        "start",
+        F.col("size").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("n").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
