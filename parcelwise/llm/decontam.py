@@ -60,9 +60,9 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id",
     """Stored postings ``(term, r, doc, pos)`` of the vocabulary; term 0 at ``pos`` = number of words."""
     end = vocabulary.sparkSession.range(1).select(F.col("id").alias("term"), F.lit("").alias("word"))
     words = F.concat(plain_words(F.col(text)), F.array(F.lit("")))
-    tokens = docs.select(
-        F.monotonically_increasing_id().alias("r"), F.col(doc_id).alias("doc"), F.posexplode(words).alias("pos", "word")
-    )
+    # Rows are numbered before they are taken apart.
+    numbered = docs.select(F.monotonically_increasing_id().alias("r"), F.col(doc_id).alias("doc"), words.alias("words"))
+    tokens = numbered.select("r", "doc", F.posexplode("words").alias("pos", "word"))
     return stage(tokens.join(_near(stage(vocabulary.unionByName(end))), "word").select("term", "r", "doc", "pos"))
 
 
