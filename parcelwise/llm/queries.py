@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import decontam, linededup, packing, quality
+import corpus_pipeline
+from parcelwise.llm import decontam, linededup, neardup, packing, quality
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -149,3 +150,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query("op4_minhash_neardup")
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumnRenamed("doc", "doc_id")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages, down to their packed pieces."""
+    return corpus_pipeline.run(spark, sf_dir)
