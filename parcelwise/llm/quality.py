@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger stores one failure bit per rule next to the
 measurements the rules looked at; policies are versioned masks over these bits, so a new policy or an
-ablation reads the ledger and never the texts again. DataFrame functions only, one pass, no shuffle.
+ablation reads the stored ledger and never evaluates a rule again. DataFrame functions only, one pass, no
+shuffle.
 
 Defined results: null or empty text has no words and fails ``few_words``; repeated rows are judged
 each for itself; other columns, whatever their names, are carried through ``filter_documents``.
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import BLANKS, bind, blank_words, count_char, keep_whole
+from parcelwise.llm.common import BLANKS, bind, blank_words, count_char, keep_whole, stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -154,5 +155,9 @@ def ablation(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = POLICY, text: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
-    return ledger(docs, text).where(passes(policy)).select("doc.*")
+    """The documents that the policy keeps, with their own columns.
+
+    The ledger is stored first: a filter on its bits would else be pushed below the measurements and
+    evaluate them again for every rule.
+    """
+    return stage(ledger(docs, text)).where(passes(policy)).select("doc.*")
