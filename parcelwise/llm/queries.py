@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelwise.llm import chat, decontam, linededup, neardup, packing, quality, urlrules
+from parcelwise.llm import chat, decontam, htmltext, linededup, neardup, packing, quality, urlrules
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -230,3 +230,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
