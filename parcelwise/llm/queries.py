@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelwise.llm import chat, decontam, htmltext, linededup, neardup, packing, quality, urlrules
+from parcelwise.llm import chat, decontam, htmltext, licenses, linededup, neardup, packing, quality, urlrules
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -237,3 +237,50 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     rows = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _license_sql() -> str:
+    """Every run of lines against every template, without the pruning."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    words = lambda c: (
+        f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+    WITH tw AS (SELECT t, license, {words("text")} AS w FROM (VALUES {values}) AS v(t, license, text)),
+    ti AS (SELECT t, license, w, unnest(range(1, len(w))) AS i FROM tw),
+    tb AS (SELECT DISTINCT t, license, w[i] || ' ' || w[i + 1] AS b FROM ti),
+    tn AS (SELECT t, license, count(*) AS n, CAST(ceil(count(*) * 0.8 / 1.2 - 1e-9) AS INT) AS low,
+                  CAST(floor(count(*) * 1.2 / 0.8 + 1e-9) AS INT) AS high FROM tb GROUP BY t, license),
+    d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    l AS (SELECT r, doc_id, unnest(range(1, len(x) + 1)) AS no, unnest(x) AS line FROM d),
+    lw AS (SELECT r, doc_id, no, {words("line")} AS w FROM l),
+    lr AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY no) AS k FROM lw WHERE len(w) > 0),
+    top AS (SELECT min(low) AS low, max(high) AS high FROM tn),
+    s AS (
+      SELECT a.r, a.doc_id, a.no AS first_line, b.no AS last_line, flatten(list(c.w ORDER BY c.k)) AS w
+      FROM lr a JOIN lr b ON a.r = b.r AND b.k BETWEEN a.k AND a.k + (SELECT high FROM top)
+           JOIN lr c ON c.r = a.r AND c.k BETWEEN a.k AND b.k
+      GROUP BY a.r, a.doc_id, a.no, b.no
+      HAVING sum(len(c.w)) - 1 BETWEEN (SELECT low FROM top) AND (SELECT high FROM top)),
+    si AS (SELECT r, doc_id, first_line, last_line, len(w) AS n, w, unnest(range(1, len(w))) AS i FROM s),
+    sb AS (SELECT DISTINCT r, doc_id, first_line, last_line, n, w[i] || ' ' || w[i + 1] AS b FROM si),
+    sn AS (SELECT r, first_line, last_line, count(*) AS m FROM sb GROUP BY ALL),
+    c AS (SELECT r, doc_id, first_line, last_line, n, t, license, count(*) AS common FROM sb JOIN tb USING (b) GROUP BY ALL),
+    g AS (
+      SELECT c.*, 2.0::DOUBLE * common / (m + tn.n) AS dice
+      FROM c JOIN sn USING (r, first_line, last_line) JOIN tn USING (t)
+      WHERE c.n - 1 BETWEEN low AND high AND 2.0::DOUBLE * common / (m + tn.n) >= 0.8),
+    f AS (SELECT *, row_number() OVER (PARTITION BY r, first_line ORDER BY dice DESC, last_line, t) AS p FROM g),
+    o AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, first_line) AS q FROM f WHERE p = 1)
+    SELECT doc_id, license, CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line, round(dice, 6) AS dice
+    FROM o WHERE q = 1
+    """
+
+
+@query("op5_license_scans", _license_sql())
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in each document, with the lines that name them."""
+    rows = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("doc").alias("doc_id"), "license", "first_line", "last_line", F.round("dice", 6).alias("dice"))
