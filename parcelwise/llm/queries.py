@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelwise.llm import chat, decontam, htmltext, licenses, linededup, neardup, packing, quality, urlrules
+from parcelwise.llm import chat, decontam, htmltext, licenses, linededup, neardup, packing, quality, secrets, urlrules
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -284,3 +284,19 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in each document, with the lines that name them."""
     rows = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("doc").alias("doc_id"), "license", "first_line", "last_line", F.round("dice", 6).alias("dice"))
+
+
+@query("op9_secret_scans")
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; values leave as digests only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = secrets.scan(docs, path="source")
+    return rows.select(
+        F.col("doc").alias("doc_id"),
+        "at",
+        F.sha2("value", 256).alias("value_sha256"),
+        F.length("value").alias("n_chars"),
+        F.col("label").cast("int").alias("label"),
+        F.round("probability", 6).alias("probability"),
+        "secret",
+    )
