@@ -47,6 +47,15 @@ def count_char(text: Column, char: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether a staged frame has at most ``rows`` rows, and so may be sent to every executor."""
+#: Rows of a few numbers or short words that may be sent to every executor: some tens of megabytes.
+SMALL = 2_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> bool:
+    """Whether a frame has at most ``rows`` rows, and so may be sent to every executor."""
     return df.limit(rows + 1).count() <= rows
+
+
+def near(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, marked for broadcast if it is counted and small; joins beyond that run as shuffles."""
+    return F.broadcast(df) if small(df, rows) else df

@@ -24,17 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import keep_whole, plain_words, small, stage
+from parcelwise.llm.common import keep_whole, near, plain_words, stage
 
 WINDOW = 10
-#: Rows of test terms or phrases that may be sent to every executor.
-SMALL = 200_000
-
-
-def _near(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough."""
-    return F.broadcast(df) if small(df, SMALL) else df
-
 
 def phrases_of(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct phrases of the items as ``(phrase, len, offset, term)``, ``(phrase, item)`` and ``(term, word)``.
@@ -63,7 +55,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id",
     # Rows are numbered before they are taken apart.
     numbered = docs.select(F.monotonically_increasing_id().alias("r"), F.col(doc_id).alias("doc"), words.alias("words"))
     tokens = numbered.select("r", "doc", F.posexplode("words").alias("pos", "word"))
-    return stage(tokens.join(_near(stage(vocabulary.unionByName(end))), "word").select("term", "r", "doc", "pos"))
+    return stage(tokens.join(near(stage(vocabulary.unionByName(end))), "word").select("term", "r", "doc", "pos"))
 
 
 def find_phrases(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
@@ -83,7 +75,7 @@ def find_phrases(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame
 
     def shifted(entries: DataFrame) -> DataFrame:
         """Start positions that the lists of these terms ask for."""
-        hits = in_text.join(_near(entries), "term")
+        hits = in_text.join(near(entries), "term")
         start = F.col("pos") - F.col("offset")
         if slop:
             start = F.explode(F.sequence(start - slop, start + slop))
@@ -105,7 +97,7 @@ def find_phrases(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame
     asked = asked.select("phrase", "r", "start", "offset", "term", place.cast("int").alias("pos"))
     # Only documents with a start left have to be looked at again.
     rows = stage(found.select("r").distinct())
-    lists = in_text.join(_near(rows), "r", "left_semi").select("r", "pos", "term")
+    lists = in_text.join(near(rows), "r", "left_semi").select("r", "pos", "term")
     met = asked.join(lists, ["r", "pos", "term"]).select("phrase", "r", "start", "offset")
     if slop:
         met = met.distinct()
@@ -126,7 +118,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         "r", F.greatest(F.col("stop") - F.greatest("start", F.coalesce("before", F.lit(0))), F.lit(0)).alias("n")
     )
     hit = added.groupBy("r").agg(F.sum("n").alias("n_hit"))
-    phrases = matches.select("r", "phrase").distinct().join(_near(owner), "phrase")
+    phrases = matches.select("r", "phrase").distinct().join(near(owner), "phrase")
     found = phrases.select("r", F.col("item").cast("string").alias("item")).distinct()
     found = found.groupBy("r").agg(F.sort_array(F.collect_list("item")).alias("items"))
     whole = index.where("term = 0").select("r", "doc", F.col("pos").cast("long").alias("n_words"))
@@ -146,4 +138,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, i
     terms, _, vocabulary = phrases_of(items, item, text, window)
     index = build_index(texts, vocabulary, "row", text)
     bad = stage(find_phrases(index, terms).join(index.where("term = 0").select("r", "doc"), "r").select(F.col("doc").alias("n")).distinct())
-    return rows.join(_near(bad), "n", "left_anti").select("d.*")
+    return rows.join(near(bad), "n", "left_anti").select("d.*")

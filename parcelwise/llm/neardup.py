@@ -8,10 +8,11 @@ together with probability 0.99993. What follows never writes all pairs of a buck
 2. In every bucket one text leads: the one whose buckets are fullest, which in a group of copies is their
    origin. All others are compared with the leader only, exactly, on their whole shingle sets.
 3. Links make components. Buckets whose texts are all in one component are done. In the others, each text
-   outside the bucket's largest component is compared with all texts of other components, by
-   signature and in blocks of bounded size inside the tasks; only pairs that look similar are written
-   and then checked exactly. So a link missed by the leaders is found, and a group of thousands of
-   copies costs one comparison each.
+   outside the bucket's largest component is compared with all texts of other components. An exact bound on
+   the shingles they can share takes most of them out first; the rest are compared by signature in
+   blocks of bounded size inside the tasks, and only pairs that look similar are written and checked
+   exactly. So a link missed by the leaders is found, and a group of thousands of copies costs about one
+   comparison each.
 
 Classes are the connected components of the links, found by joins. Python runs in Arrow batches inside
 partitions; groups are streamed in sorted order and split by a salt, so no group is held in one task.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import keep_whole, stage
+from parcelwise.llm.common import keep_whole, near, stage
 from parcelwise.llm.shingles import band_hashes, dart_signatures, shingle_sets
 
 VALUES = 120
@@ -100,6 +101,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             last = key
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``r`` is among ``ids``, picked before any shuffle where these are few."""
+    return rows.join(near(stage(ids.distinct())), "r", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets reach the similarity, exactly; ``texts`` is ``(r, t)``.
 
@@ -110,7 +116,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     right = pairs.join(salted, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b")
     left = salted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
     wanted = left.withColumn("r", F.col("a")).unionByName(right.withColumn("r", F.col("b")))
-    rows = wanted.join(texts, "r").select("a", "salt", "b", "t")
+    # Texts of rows in no pair stay where they are.
+    rows = wanted.join(_only(texts, wanted.select("r")), "r").select("a", "salt", "b", "t")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +180,8 @@ def leader_pairs(buckets: DataFrame, signed: DataFrame, similarity: float, value
     density = buckets.groupBy("r").agg(F.sum("n").alias("density"))
     weighed = buckets.join(density, "r")
     leader = weighed.groupBy("key").agg(F.max(F.struct("density", "r"))["r"].alias("a"))
-    pairs = buckets.join(leader, "key").where("a <> r").select("a", F.col("r").alias("b")).distinct()
-    sig = signed.select("r", "sig")
+    pairs = stage(buckets.join(leader, "key").where("a <> r").select("a", F.col("r").alias("b")).distinct())
+    sig = stage(_only(signed.select("r", "sig"), pairs.select(F.explode(F.array("a", "b")).alias("r"))))
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     least = _least(similarity, values)
 
@@ -187,26 +194,56 @@ def leader_pairs(buckets: DataFrame, signed: DataFrame, similarity: float, value
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, similarity: float, values: int) -> DataFrame:
-    """``(a, b)`` of different components within a bucket whose signatures look similar.
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows ``(key, r, comp)`` of the buckets with several components, with what their blocks need."""
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.count("*").alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most")
+    )
+    return stage(labelled.join(mixed.where("comps > 1").drop("comps"), "key"))
+
+
+def can_link(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(r, n, high)`` of those rows that can still have a link among each other, by an exact bound.
+
+    Of its n shingles a text shares none of the u that no other row holds. A link to a text of m shingles needs
+    at least ``s / (1 + s) * (n + m)`` in common, so m is at most ``high = (1 + s) / s * (n - u) - n``, and at least
+    ``s * n``. In a group of copies that drops the ones which differ too much from all others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, chunk in _chunks(batch.column("t")):
+                owner, element, _ = shingle_sets(chunk)
+                r = batch.column("r").slice(at, len(chunk)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(r[owner]), pa.array(element.view(np.int64))], names=["r", "h"])
+
+    held = _only(texts, rows.select("r")).select("r", "t").mapInArrow(run, "r long, h long")
+    single = held.groupBy("h").agg(F.count("*").alias("rows"), F.min("r").alias("r")).where("rows = 1")
+    own = single.groupBy("r").agg(F.count("*").alias("u"))
+    bounded = _only(signed.select("r", "n"), rows.select("r")).join(own, "r", "left")
+    high = (1 + similarity) / similarity * (F.col("n") - F.coalesce("u", F.lit(0))) - F.col("n") + 1e-6
+    return stage(bounded.select("r", "n", high.alias("high")).where(F.col("high") >= F.col("n") * similarity))
+
+
+def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, values: int) -> DataFrame:
+    """``(a, b)`` of different components within a bucket that can be a link and whose signatures look similar.
 
     Blocks of texts outside the bucket's largest component meet blocks of the whole bucket inside a task.
     """
     labelled = buckets.join(comp, "r", "left").select("key", "r", F.coalesce("comp", "r").alias("comp"))
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.count("*").alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most")
-    ).where("comps > 1")
-    rows = stage(labelled.join(mixed, "key").join(signed.select("r", "sig"), "r"))
+    able = can_link(_mixed(labelled), signed, texts, similarity)
+    rows = _mixed(labelled.join(near(able), "r").select("key", "r", "comp", F.col("n").alias("size"), "high"))
+    rows = rows.join(_only(signed.select("r", "sig"), rows.select("r")), "r")
     block = lambda n: F.ceil(n / BLOCK).cast("int")
     outside, whole = block(F.col("all") - F.col("most")), block(F.col("all"))
-    own = F.pmod(F.hash("r"), outside)
+    columns = ["side", "r", "comp", "size", "high", "sig"]
     seek = rows.where("comp <> largest").select(
-        "key", own.alias("x"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("y"), F.lit(0).alias("side"), "r", "comp", "sig"
-    )
+        "*", F.pmod(F.hash("r"), outside).alias("x"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("y"), F.lit(0).alias("side")
+    ).select("key", "x", "y", *columns)
     meet = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), outside - 1)).alias("x"), F.pmod(F.hash("r"), whole).alias("y"), F.lit(1).alias("side"), "r", "comp", "sig"
-    )
+        "*", F.explode(F.sequence(F.lit(0), outside - 1)).alias("x"), F.pmod(F.hash("r"), whole).alias("y"), F.lit(1).alias("side")
+    ).select("key", "x", "y", *columns)
     dealt = seek.unionByName(meet).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
     least = _least(similarity, values)
 
@@ -225,6 +262,8 @@ def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, simi
             i, j = _alike(_signatures(seen.column("sig"), values), _signatures(others.column("sig"), values), least)
             a, b = seen.column("r").to_numpy()[i], others.column("r").to_numpy()[j]
             apart = seen.column("comp").to_numpy()[i] != others.column("comp").to_numpy()[j]
+            for one, i1, two, i2 in ((seen, i, others, j), (others, j, seen, i)):
+                apart &= one.column("size").to_numpy()[i1] <= two.column("high").to_numpy()[i2]
             low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
@@ -241,16 +280,16 @@ def classes(numbered: DataFrame, similarity: float = SIMILARITY, values: int = V
     keys = stage(numbered.select("r", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.octet_length(text).alias("h3")))
     first = keys.groupBy("h1", "h2", "h3").agg(F.min("r").alias("rep"))
     copies = stage(keys.join(first, ["h1", "h2", "h3"]).select("r", "rep"))
-    reps = copies.where("r = rep").select("r")
-    signed = stage(sign(numbered, values, bands, counted).join(reps, "r", "left_semi"))
+    repeats = copies.where("r <> rep").select("r")
+    signed = stage(sign(numbered.join(near(repeats), "r", "left_anti"), values, bands, counted))
     flat = signed.select("r", F.posexplode("bands").alias("band", "hash"))
     flat = flat.select("r", F.xxhash64("band", "hash").alias("key"))
-    full = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stage(flat.join(full, "key"))
+    full = stage(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = stage(flat.join(near(full), "key"))
 
     links = stage(verified(leader_pairs(buckets, signed, similarity, values), numbered, similarity))
     comp = components(links)
-    more = stage(verified(remaining_pairs(buckets, comp, signed, similarity, values), numbered, similarity))
+    more = stage(verified(remaining_pairs(buckets, comp, signed, numbered, similarity, values), numbered, similarity))
     if more.limit(1).count():
         links = links.unionByName(more)
         comp = components(links)

@@ -26,13 +26,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import blank_words, plain_words, small, stage
+from parcelwise.llm.common import blank_words, near, plain_words, stage
 
 LEAST = 16
 MIN_DOCS = 5
 TRAINED = 20_000
 TREES, DEPTH = 40, 8
-SMALL = 200_000
 
 # What credentials are called.
 _CALLED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
@@ -63,7 +62,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
 def dictionary(docs: DataFrame, parts: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Those of ``parts`` (one column ``part``) that at least ``min_docs`` documents hold as a word."""
-    wanted = F.broadcast(parts) if small(parts, SMALL) else parts
+    wanted = near(parts)
     each = docs.select(F.explode(F.array_distinct(plain_words(F.col(text)))).alias("part"))
     met = each.join(wanted, "part").groupBy("part").agg(F.count("*").alias("n"))
     return met.where(F.col("n") >= min_docs).select("part", F.lit(True).alias("known"))
