@@ -19,6 +19,8 @@ the lower node. Other columns are not carried along. A conversation is one text
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,27 +55,25 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
         F.lit(1).alias("depth"),
     )
     reach = stage(reach)
-    jumps = [reach.where("up IS NOT NULL").select("tree", "node", "up")]
-    rounds = max(1, nodes.count()).bit_length() + 1
-    for _ in range(rounds):
-        if not jumps[-1].limit(1).count():
+    # Messages that have reached their root take no more part; a round is as large as what is still on its way.
+    ended, moving = [reach.where("up IS NULL")], reach.where("up IS NOT NULL")
+    jumps = [moving.select("tree", "node", "up")]
+    for _ in range(max(1, nodes.count()).bit_length() + 1):
+        if not moving.limit(1).count():
             break
-        above = reach.select(
+        above = functools.reduce(DataFrame.unionByName, [*ended, moving]).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("steps")
         )
-        far = reach.join(above, ["tree", "up"], "left")
-        reach = stage(
-            far.select(
-                "tree",
-                "node",
-                F.col("next").alias("up"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"),
+        far = stage(
+            moving.join(above, ["tree", "up"]).select(
+                "tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("steps")).alias("depth")
             )
         )
-        jumps.append(reach.where("up IS NOT NULL").select("tree", "node", "up"))
+        ended.append(far.where("up IS NULL"))
+        moving = far.where("up IS NOT NULL")
+        jumps.append(moving.select("tree", "node", "up"))
     # What still has a way to go after that many doublings goes round in a circle.
-    ended = reach.where("up IS NULL").select("tree", "node", "score", "depth")
+    ended = functools.reduce(DataFrame.unionByName, ended).select("tree", "node", "score", "depth")
     inner = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = ended.join(inner, ["tree", "node"], "left_anti")
     order = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node")

@@ -94,7 +94,7 @@ def find_phrases(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame
     ).select("phrase", "r", "start", "offset", "term")
     place = F.col("start") + F.col("offset")
     place = F.explode(F.sequence(place - slop, place + slop)) if slop else place
-    asked = asked.select("phrase", "r", "start", "offset", "term", place.cast("int").alias("pos"))
+    asked = asked.select("phrase", "r", "start", "offset", "term", place.alias("pos"))
     # Only documents with a start left have to be looked at again.
     rows = stage(found.select("r").distinct())
     lists = in_text.join(near(rows), "r", "left_semi").select("r", "pos", "term")
