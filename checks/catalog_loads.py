@@ -114,7 +114,7 @@ def fixtures_statistics(spark, d):
                  trim(qa_cd) AS quality_code, CAST(date_erected AS INT) AS year_built, TRY_CAST(heat_ar AS DECIMAL(10,2)) AS heat_area,
                  CAST(bed_rm AS INT) AS rb, CAST(full_bath AS DECIMAL(10,2)) + CAST(half_bath AS INT) * 0.5 AS rt, CAST(half_bath AS INT) AS rh
           FROM {V('v_raw_building')} r WHERE acct IN (SELECT account_number FROM prop))
-    SELECT b.account_number, b.building_number, substr(building_type, 1, 10) AS building_type, quality_code, year_built, CAST(heat_area AS DOUBLE) AS heat_area,
+    SELECT b.account_number, b.building_number, building_type, quality_code, year_built, CAST(heat_area AS DOUBLE) AS heat_area,
            CASE WHEN fx.bedrooms > 0 THEN fx.bedrooms ELSE rb END AS bedrooms,
            CAST(CASE WHEN coalesce(full_baths, 0) + coalesce(half_units, 0) * 0.5 > 0 THEN coalesce(full_baths, 0) + coalesce(half_units, 0) * 0.5
                 WHEN rt > 0 THEN rt END AS DOUBLE) AS bathrooms,

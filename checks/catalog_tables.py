@@ -338,7 +338,7 @@ def property_facets(spark, d):
     f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY zipcode NULLS LAST, street_number NULLS LAST, street_name NULLS LAST, account_number) AS nth
                    FROM (SELECT *, concat(CASE WHEN length(account_number) % 2 = 0 THEN '=' ELSE '' END, owner_name) AS own FROM {V('v_property')} p WHERE contains(zipcode, '77')) q)
     SELECT account_number AS "Account Number", CASE WHEN substr(own, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', own) ELSE own END AS "Owner",
-           coalesce(CAST(assessed_value AS VARCHAR), '') AS "Assessed Value" FROM f WHERE nth <= 1000""",
+           coalesce(CAST(assessed_value AS VARCHAR), '') AS "Assessed Value" FROM f""",
 )
 def csv_safe_projection(spark, d):
     params = {"zip_code": "77"}
@@ -550,5 +550,5 @@ def report_heads(spark, d):
 def report_lines(spark, d):
     facts = cut_lineage(a_facts(spark, d))
     shared = SharedTables(view(spark, d, "v_history"), view(spark, d, "v_unit_rate"), view(spark, d, "v_jur"))
-    comps = protest_comps(facts, facts, COUNTY_A_SPEC, 52, max_distance=2.0)
+    comps = protest_comps(facts, facts, COUNTY_A_SPEC, 52)
     return X.exploded_lines(protest_report(facts, comps, shared, "harris")["lines"])

@@ -26,7 +26,7 @@ _PAIRED = f"""
     FROM paired""",
 )
 def history_yoy(spark, d):
-    rows = history_rows(view(spark, d, "v_history"))
+    rows = history_rows(view(spark, d, "v_history"), 5)
     return plain(rows.select("account_number", "county", "tax_year", "assessed_value", "increase_percent"))
 
 
@@ -50,7 +50,7 @@ def history_yoy(spark, d):
     FROM a""",
 )
 def cap_status(spark, d):
-    rows = history_rows(view(spark, d, "v_history"))
+    rows = history_rows(view(spark, d, "v_history"), 5)
     return plain(rows.select("account_number", "county", "tax_year", "cap_status.*"))
 
 
@@ -63,7 +63,7 @@ def cap_status(spark, d):
     FROM paired WHERE assessed_value IS NOT NULL GROUP BY 1, 2""",
 )
 def history_trend_query(spark, d):
-    out = history_trend(history_rows(view(spark, d, "v_history")))
+    out = history_trend(history_rows(view(spark, d, "v_history"), 5))
     return plain(
         out.select(
             "county", "account_number", F.size("points").cast("long").alias("n_points"),
@@ -186,8 +186,8 @@ _FIRST_BASE = f"""
   first_base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_number, tax_unit_code ORDER BY pos) AS rn
                                 FROM {V('v_base')} b) t WHERE rn = 1)"""
 _CODES = f"""
-  codes AS (SELECT account_number, tax_unit_code, substr(string_agg(DISTINCT exemption_code, '+' ORDER BY exemption_code), 1, 32) AS code,
-                   substr(string_agg(DISTINCT description, ' + ' ORDER BY description), 1, 255) AS descr
+  codes AS (SELECT account_number, tax_unit_code, string_agg(DISTINCT exemption_code, '+' ORDER BY exemption_code) AS code,
+                   string_agg(DISTINCT description, ' + ' ORDER BY description) AS descr
             FROM {V('v_exempt')} e GROUP BY 1, 2)"""
 
 

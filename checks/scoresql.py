@@ -143,7 +143,7 @@ def _measures(county: str, max_distance: float) -> dict[str, tuple[str, float, f
     return out
 
 
-def comps_ctes(county: str, max_distance: float, cap: int, max_results: int, min_score: float) -> str:
+def comps_ctes(county: str, max_distance: float, cap: int | None, max_results: int, min_score: float) -> str:
     """CTEs ending in ``comps``: every subject's ranked comps with sims, score and comp facts."""
     facts = FACTS_A if county == "a" else FACTS_B
     d = dbl(max_distance)
@@ -180,7 +180,7 @@ def comps_ctes(county: str, max_distance: float, cap: int, max_results: int, min
      AND (s.wanted IS NULL OR len(list_filter(c.areas, lambda a: a >= s.wanted * 0.5 AND a <= s.wanted * 1.5)) > 0)),
   nearest AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY od, csite, comp_key) AS nth
-                   FROM near WHERE distance <= {d}) t WHERE nth <= {cap}),
+                   FROM near WHERE distance <= {d}) t WHERE {'true' if cap is None else f'nth <= {cap}'}),
   moded AS (
     SELECT n.subject_key, n.scope, n.comp_key, n.distance,
            CASE WHEN s.has_building AND c.has_building THEN 'residential'

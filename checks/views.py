@@ -16,7 +16,7 @@ TABLES = (
 )
 
 # A total order over lineitem rows: rows that tie are equal in every column.
-LINE_POSITION = """concat_ws('|', lpad(cast(l_orderkey AS string), 9, '0'), lpad(cast(l_partkey AS string), 9, '0'), cast(l_suppkey AS string), cast(l_linenumber AS string),
+LINE_POSITION = """concat_ws('|', lpad(cast(l_orderkey AS string), 19, '0'), lpad(cast(l_partkey AS string), 19, '0'), cast(l_suppkey AS string), cast(l_linenumber AS string),
                    cast(cast(round(l_quantity * 100) AS bigint) AS string), cast(cast(round(l_extendedprice * 100) AS bigint) AS string),
                    cast(cast(round(l_discount * 100) AS bigint) AS string), cast(cast(round(l_tax * 100) AS bigint) AS string),
                    l_returnflag, l_linestatus, cast(cast(l_shipdate AS date) AS string))"""

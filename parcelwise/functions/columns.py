@@ -47,12 +47,9 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
-def clean_text(c: Column, max_len: int | None = None) -> Column:
-    """Trimmed text, capped at ``max_len``; null becomes the empty string."""
-    out = strip(c)
-    if max_len is not None:
-        out = F.substring(out, 1, max_len)
-    return F.coalesce(out, F.lit(""))
+def clean_text(c: Column) -> Column:
+    """Trimmed text, whole; null becomes the empty string."""
+    return F.coalesce(strip(c), F.lit(""))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -128,8 +125,8 @@ def first_nonzero(*cols: Column) -> Column:
     return F.coalesce(*[nonzero(c) for c in cols])
 
 
-def first_nonblank(*cols: Column, max_len: int | None = None) -> Column:
-    return clean_text(F.coalesce(*[_nonempty(strip(c)) for c in cols]), max_len)
+def first_nonblank(*cols: Column) -> Column:
+    return clean_text(F.coalesce(*[_nonempty(strip(c)) for c in cols]))
 
 
 def first_int(*cols: Column) -> Column:
@@ -146,7 +143,7 @@ def join_nonblank(sep: str, *cols: Column) -> Column:
 
 
 def state_class(c: Column) -> Column:
-    return F.substring(F.upper(clean_text(c)), 1, 10)
+    return F.upper(clean_text(c))
 
 
 def is_residential(c: Column) -> Column:
@@ -154,19 +151,17 @@ def is_residential(c: Column) -> Column:
 
 
 def street_with_suffix(name: Column, suffix: Column) -> Column:
-    return clean_text(join_nonblank(" ", clean_text(name), clean_text(suffix)), 128)
+    return clean_text(join_nonblank(" ", clean_text(name), clean_text(suffix)))
 
 
 def site_address(full: Column, number: Column, street: Column) -> Column:
     """The full site address, else number and street."""
-    return F.substring(
-        F.coalesce(_nonempty(clean_text(full, 255)), F.trim(F.concat_ws(" ", number, street))), 1, 255
-    )
+    return F.coalesce(_nonempty(clean_text(full)), F.trim(F.concat_ws(" ", number, street)))
 
 
 def component_address(number: Column, street: Column, full: Column) -> Column:
     """The older preference: built from its components, else the full text."""
-    return F.substring(F.coalesce(_nonempty(join_nonblank(" ", number, street)), clean_text(full)), 1, 255)
+    return F.coalesce(_nonempty(join_nonblank(" ", number, street)), clean_text(full))
 
 
 def zip_plus_four(zip5: Column, zip4: Column) -> Column:

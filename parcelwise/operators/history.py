@@ -65,14 +65,14 @@ def cap_status(
     )
 
 
-def history_rows(history: DataFrame, limit: int = DEFAULT_YEARS) -> DataFrame:
-    """The newest ``limit`` years per account, each next to the next older *kept* year.
+def history_rows(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` years per account (None: all of them), each next to the next older *kept* year.
 
     The cut comes first: the oldest kept year has no prior even when an older one exists. Both steps
     share one partitioning, and the cut happens before the shuffle.
     """
     newest = F.col("tax_year").desc()
-    kept = first_rows(history, KEYS, [newest], limit)
+    kept = history if limit is None else first_rows(history, KEYS, [newest], limit)
     older = Window.partitionBy(*KEYS).orderBy(newest)
     paired = kept.withColumn(
         "_prior", F.lead(F.struct("assessed_value", "appraised_value"), 1).over(older)

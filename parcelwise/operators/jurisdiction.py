@@ -12,7 +12,6 @@ from parcelwise.operators.keyed import first_per_key, first_value
 NO_EXEMPTION = ("", "NONE")
 UNITEMISED_CODE = "EXEMPT"
 UNITEMISED_TEXT = "Exemption applied by HCAD (category not itemised)"
-CODE_LENGTH, TEXT_LENGTH = 32, 255
 
 PAIR = ["account_number", "tax_unit_code"]
 
@@ -137,14 +136,14 @@ def exemption_descriptions(rows: DataFrame) -> DataFrame:
 
 
 def itemised_codes(exemptions: DataFrame) -> DataFrame:
-    """Distinct codes and descriptions per (account, unit), joined in order and cut to their columns.
+    """Distinct codes and descriptions per (account, unit), joined in order, whole.
 
     The distinct pass comes first, so a list is as long as the number of different codes.
     """
     distinct = exemptions.select(*PAIR, "exemption_code", "description").distinct()
     return distinct.groupBy(*PAIR).agg(
-        F.substring(F.array_join(F.array_sort(F.collect_set("exemption_code")), "+"), 1, CODE_LENGTH).alias("code"),
-        F.substring(F.array_join(F.array_sort(F.collect_set("description")), " + "), 1, TEXT_LENGTH).alias("descr"),
+        F.array_join(F.array_sort(F.collect_set("exemption_code")), "+").alias("code"),
+        F.array_join(F.array_sort(F.collect_set("description")), " + ").alias("descr"),
     )
 
 

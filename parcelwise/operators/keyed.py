@@ -14,14 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.session import allow_group_limit
 
 Order = Sequence[Column | str]
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order_by: Order, n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key; ``rank`` keeps the position as a column."""
-    allow_group_limit(df.sparkSession, n)
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).filter(
         F.col(name) <= n

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOADED, SKIPPED, INVALID = "loaded", "skipped", "invalid"
-DEFAULT_MAX_INVALID = 1000
 
 
 def loaded(staged: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ class TooManyInvalidRows(RuntimeError):
     """A load met more invalid rows than it tolerates; nothing may be written."""
 
 
-def require_valid(staged: DataFrame, max_invalid: int = DEFAULT_MAX_INVALID) -> DataFrame:
+def require_valid(staged: DataFrame, max_invalid: int) -> DataFrame:
     """Return ``staged`` unchanged, or raise when it holds more than ``max_invalid`` invalid rows."""
     bad = staged.filter(F.col("outcome") == INVALID).count()
     if bad >= max_invalid:

@@ -15,7 +15,6 @@ from parcelwise.operators.features import profile_a
 
 # Rows per page and the export rules.
 PAGE_ROWS = 200
-EXPORT_ROWS = 1000
 EXPORT_MIN_TEXT = 3
 
 

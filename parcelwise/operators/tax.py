@@ -153,12 +153,10 @@ def unit_breakdown(subjects: DataFrame, jurisdictions: DataFrame, rates: DataFra
 def _flag_units(coded: DataFrame) -> DataFrame:
     """Mark the rows that stand for a taxing unit: not blank, and of codes that differ only in outer
     blanks the first one.
-
-    Partitioned by account and year, which the totals reuse; an account has one row per unit here.
     """
     year_keys = [*KEYS, "resolved_year"]
     twins = Window.partitionBy(*year_keys, F.trim("tax_unit_code")).orderBy("tax_unit_code")
-    return coded.repartition(*[F.col(k) for k in year_keys]).withColumn(
+    return coded.withColumn(
         "is_unit", (F.row_number().over(twins) == 1) & (F.trim("tax_unit_code") != "")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import clamp_argument
 from parcelwise.operators.comps import (
-    CANDIDATE_CAP, PROTEST_MIN_SCORE_BOUNDS, display_rank, find_comps, with_comp_facts,
+    PROTEST_MIN_SCORE_BOUNDS, display_rank, find_comps, with_comp_facts,
 )
 from parcelwise.operators.equity import comp_deltas, equity_summary
 from parcelwise.operators.history import DEFAULT_YEARS, history_rows
@@ -36,7 +36,7 @@ class SharedTables:
 def protest_comps(
     subjects: DataFrame, facts: DataFrame, spec: ScoreSpec, min_score: float | None = None,
     max_distance: float = PROTEST_MAX_DISTANCE, max_comps: int = PROTEST_MAX_COMPS,
-    candidate_cap: int = CANDIDATE_CAP,
+    candidate_cap: int | None = None,
 ) -> DataFrame:
     """Display-ranked comps with their facts and the difference to the subject.
 
@@ -70,18 +70,19 @@ def subject_tax(equity: DataFrame, shared: SharedTables, county: str) -> DataFra
 
 
 def protest_report(
-    subjects: DataFrame, comps: DataFrame, shared: SharedTables, county: str
+    subjects: DataFrame, comps: DataFrame, shared: SharedTables, county: str,
+    years_shown: int | None = DEFAULT_YEARS, comps_shown: int = PRINTED_COMPS,
 ) -> dict[str, DataFrame]:
     """``equity``, ``history``, ``tax``, ``comps_csv`` and ``lines`` for all located subjects.
 
-    ``comps`` come from :func:`protest_comps`.
+    ``comps`` come from :func:`protest_comps`. The printed lines show the newest ``years_shown`` years and
+    the first ``comps_shown`` comps, as the printed report does; the tables beside them hold all comps.
     """
     located = subjects.filter("has_location")
     equity = equity_summary(comps, located)
-    history = history_rows(county_rows(shared.history, county), DEFAULT_YEARS)
+    history = history_rows(county_rows(shared.history, county), years_shown)
     tax = subject_tax(equity, shared, county)
 
-    # At most five years and ten comps per subject are printed.
     years = history.groupBy("account_number").agg(
         F.reverse(
             F.array_sort(
@@ -94,7 +95,7 @@ def protest_report(
         ).alias("history")
     )
     printed = (
-        comps.filter(F.col("display_rank") <= PRINTED_COMPS)
+        comps.filter(F.col("display_rank") <= comps_shown)
         .groupBy("scope", "subject_key")
         .agg(
             F.array_sort(

@@ -70,7 +70,7 @@ FEATURE_SOURCES = {
 }
 FIXTURE_SOURCES = {"acct": ("acct",), "bld_num": ("bld_num",), "type": ("type",), "units": ("units",)}
 
-_TEXT_10 = (
+_TEXTS = (
     "building_type", "building_style", "building_class", "quality_code", "condition_code",
     "foundation_type", "exterior_wall", "roof_cover", "roof_type",
 )
@@ -85,8 +85,8 @@ def stage_property(raw: DataFrame) -> DataFrame:
 
 def stage_property_rows(rows: DataFrame) -> DataFrame:
     """As :func:`stage_property`, from columns that already carry their target names."""
-    account = K.clean_text(F.col("account_number"), 20)
-    number = K.clean_text(F.col("street_number"), 16)
+    account = K.clean_text(F.col("account_number"))
+    number = K.clean_text(F.col("street_number"))
     street = K.street_with_suffix(F.col("street_name"), F.col("street_suffix"))
     return _property_columns(
         rows,
@@ -94,7 +94,7 @@ def stage_property_rows(rows: DataFrame) -> DataFrame:
         address=K.site_address(F.col("site_addr_1"), number, street),
         number=number,
         street=street,
-        zipcode=K.clean_text(F.col("zipcode"), 20),
+        zipcode=K.clean_text(F.col("zipcode")),
         value=K.to_decimal(F.col("value")),
         assessed=K.to_decimal(F.col("assessed_value")),
         source_url="",
@@ -109,9 +109,9 @@ def _property_columns(
     return rows.select(
         account.alias("account_number"),
         address.alias("address"),
-        K.clean_text(F.col("city"), 100).alias("city"),
+        K.clean_text(F.col("city")).alias("city"),
         zipcode.alias("zipcode"),
-        K.clean_text(F.col("owner_name"), 255).alias("owner_name"),
+        K.clean_text(F.col("owner_name")).alias("owner_name"),
         value.alias("value"),
         assessed.alias("assessed_value"),
         K.to_decimal(F.col("building_area")).alias("building_area"),
@@ -145,17 +145,17 @@ def stage_property_older(raw: DataFrame) -> DataFrame:
         pick(raw, ["bld_ar", "bldg_ar", "bld_area"]).alias("building_area"),
         pick(raw, ["land_ar", "land_area"]).alias("land_area"),
         pick(raw, ["state_class"]).alias("state_class"),
-        F.substring(number, 1, 16).alias("_number"),
-        F.substring(street_name, 1, 128).alias("_street"),
+        number.alias("_number"),
+        street_name.alias("_street"),
         K.component_address(number, street, col("site_addr_1", "site_addr")).alias("_address"),
-        F.substring(zip_text, 1, 5).alias("_zip"),
+        F.substring(zip_text, 1, 5).alias("_zip"),  # a five-digit ZIP, the form this load keeps
         value.alias("_value"),
         K.to_decimal(pick(raw, ["assessed_val", "tot_appr_val"])).alias("_assessed"),
     )
     placeless = (F.col("_address") == "") & (F.col("_zip") == "")
     return _property_columns(
         rows,
-        account=F.substring("account_number", 1, 20),
+        account=F.col("account_number"),
         address=F.col("_address"),
         number=F.col("_number"),
         street=F.col("_street"),
@@ -191,9 +191,9 @@ def stage_buildings(raw: DataFrame, prop: DataFrame, pivot: DataFrame) -> DataFr
 
 def stage_building_rows(rows: DataFrame, prop: DataFrame, pivot: DataFrame) -> DataFrame:
     typed = rows.select(
-        K.clean_text(F.col("account_number"), 20).alias("account_number"),
+        K.clean_text(F.col("account_number")).alias("account_number"),
         F.coalesce(K.to_int(F.col("building_number")), F.lit(1)).alias("building_number"),
-        *[K.clean_text(F.col(c), 10).alias(c) for c in _TEXT_10],
+        *[K.clean_text(F.col(c)).alias(c) for c in _TEXTS],
         *[K.to_int(F.col(c)).alias(c) for c in _BUILDING_INTS],
         *[K.to_decimal(F.col(c), BUILDING[c]).alias(c) for c in _BUILDING_DECIMALS],
         K.to_int(F.col("bedrooms")).alias("_rec_bedrooms"),
@@ -212,7 +212,7 @@ def stage_building_rows(rows: DataFrame, prop: DataFrame, pivot: DataFrame) -> D
     positive = lambda c: F.when(c > 0, c)
     return joined.select(
         *BUILDING_KEY,
-        *_TEXT_10,
+        *_TEXTS,
         *_BUILDING_INTS,
         *_BUILDING_DECIMALS,
         F.coalesce(positive(F.col("_fx_bedrooms")), F.col("_rec_bedrooms")).alias("bedrooms"),
@@ -234,13 +234,13 @@ def stage_features(raw: DataFrame, prop: DataFrame) -> DataFrame:
 
 def stage_feature_rows(rows: DataFrame, prop: DataFrame) -> DataFrame:
     typed = rows.select(
-        K.clean_text(F.col("account_number"), 20).alias("account_number"),
+        K.clean_text(F.col("account_number")).alias("account_number"),
         K.to_int(F.col("feature_number")).alias("feature_number"),
-        K.clean_text(F.col("feature_code"), 10).alias("feature_code"),
-        K.clean_text(F.col("feature_description"), 255).alias("feature_description"),
+        K.clean_text(F.col("feature_code")).alias("feature_code"),
+        K.clean_text(F.col("feature_description")).alias("feature_description"),
         *[K.to_decimal(F.col(c), EXTRA_FEATURE[c]).alias(c) for c in ("quantity", "area", "length", "width", "value")],
-        K.clean_text(F.col("quality_code"), 10).alias("quality_code"),
-        K.clean_text(F.col("condition_code"), 10).alias("condition_code"),
+        K.clean_text(F.col("quality_code")).alias("quality_code"),
+        K.clean_text(F.col("condition_code")).alias("condition_code"),
         K.to_int(F.col("year_built")).alias("year_built"),
         F.lit(True).alias("is_active"),
         "pos",
@@ -254,15 +254,15 @@ def stage_features_older(raw: DataFrame, prop: DataFrame) -> DataFrame:
     typed = raw.select(
         K.clean_text(pick(raw, ["acct"])).alias("account_number"),
         K.to_int(pick(raw, ["bld_num"])).alias("feature_number"),
-        K.clean_text(pick(raw, ["cd"]), 10).alias("feature_code"),
-        K.first_nonblank(*some("l_dscr", "dscr"), max_len=255).alias("feature_description"),
+        K.clean_text(pick(raw, ["cd"])).alias("feature_code"),
+        K.first_nonblank(*some("l_dscr", "dscr")).alias("feature_description"),
         K.first_decimal(*some("count", "units"), dtype="decimal(10,2)").alias("quantity"),
         F.lit(None).cast("decimal(10,2)").alias("area"),
         K.to_decimal(pick(raw, ["length"]), "decimal(10,2)").alias("length"),
         K.to_decimal(pick(raw, ["width"]), "decimal(10,2)").alias("width"),
         K.first_decimal(*some("uts", "asd_val")).alias("value"),
-        K.clean_text(pick(raw, ["grade"]), 10).alias("quality_code"),
-        K.clean_text(pick(raw, ["cond_cd"]), 10).alias("condition_code"),
+        K.clean_text(pick(raw, ["grade"])).alias("quality_code"),
+        K.clean_text(pick(raw, ["cond_cd"])).alias("condition_code"),
         K.first_int(*some("act_yr")).alias("year_built"),
         F.lit(True).alias("is_active"),
         "pos",

@@ -7,44 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
-def allow_group_limit(spark: SparkSession, k: int) -> None:
-    """Let Spark cut ``row_number() <= k`` groups inside the map tasks, before the shuffle.
-
-    With the cut in place a key that holds a large share of all rows sends at most ``k`` rows per
-    map task, so no reducer ever sorts a whole hot group. Spark's own ceiling is 1000.
-    """
-    if int(spark.conf.get(GROUP_LIMIT_CONF, "1000")) < k:
-        spark.conf.set(GROUP_LIMIT_CONF, str(k))
-
-
-MIN_PARTITION_CONF = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-
-
-def keep_parallel(spark: SparkSession) -> None:
-    """Let adaptive execution keep small shuffle partitions apart.
-
-    A cell join reads few bytes per task and produces hundreds of pairs per row, so merging its
-    partitions up to Spark's default megabyte would leave most cores idle. Partitions still merge
-    when there are more of them than cores.
-    """
-    if spark.conf.get(MIN_PARTITION_CONF, "1MB").lower() in ("1mb", "1m", "1048576", "1048576b"):
-        spark.conf.set(MIN_PARTITION_CONF, "16KB")
-
-
-HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
-
-
-def compile_in_small_methods(spark: SparkSession) -> None:
-    """Give up whole-stage code for a stage whose methods the JVM would refuse to compile.
-
-    HotSpot leaves methods above 8000 bytes to its interpreter. The score of a pair is longer than
-    that; evaluated as split projections it runs about four times faster.
-    """
-    if spark.conf.get(HUGE_METHOD_CONF, "65535") == "65535":
-        spark.conf.set(HUGE_METHOD_CONF, "8000")
+#: Settings the jobs profit from. They belong to whoever builds the session: the library sets none of them in a
+#: session that runs.
+ADVISED = {
+    # ``row_number() <= k`` is cut inside the map tasks, before the shuffle, up to this k (Spark's own: 1000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2001",
+    # A score is longer than the 8000 bytes up to which HotSpot compiles a method; above the limit Spark
+    # evaluates it as split projections, about four times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -86,6 +57,7 @@ def local_session(cores: int | str = 8, name: str = "parcelwise") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=ADVISED)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

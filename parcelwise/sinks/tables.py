@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.operators.keyed import append_new, merge_upsert
+from parcelwise.operators.keyed import first_per_key, merge_upsert
+from parcelwise.session import cut_lineage
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -27,7 +28,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the whole table. The old rows stay until the new ones are completely written."""
+    """Replace the whole table. The old rows stay until the new ones are completely written.
+
+    Moving a folder into place is meant for file systems that rename folders in one step (HDFS, local
+    disks). Between the two moves a reader may find no table for a moment; year-scoped tables, which
+    are read while they are loaded, go through :func:`replace_slices`.
+    """
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}__new_{uuid.uuid4().hex}"
     retired = f"{path.rstrip('/')}__old_{uuid.uuid4().hex}"
@@ -48,19 +54,40 @@ def replace_slices(df: DataFrame, path: str, partition_by: Sequence[str] = ("cou
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def insert_ignore(df: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str]) -> None:
-    """Append rows of new keys only; of repeated incoming keys the first one is kept."""
+def insert_ignore(
+    df: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()
+) -> None:
+    """Append rows of new keys only; of repeated incoming keys the first one is kept.
+
+    Of the table only the keys are read, and only new files are written. The table keeps its
+    partitioning when ``partition_by`` names it.
+    """
     spark = df.sparkSession
+    fresh = first_per_key(df, keys, order_by)
     if exists(spark, path):
-        replace_table(append_new(spark.read.parquet(path), df, keys, order_by), path)
-    else:
-        replace_table(append_new(df.limit(0), df, keys, order_by), path)
+        stored = spark.read.parquet(path)
+        fresh = fresh.join(stored.select(*keys).distinct(), list(keys), "left_anti").select(*stored.columns)
+    fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Insert new keys and replace existing ones."""
+def upsert(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """Insert new keys and replace existing ones.
+
+    Of a partitioned table only the partitions that occur in ``df`` are read and rewritten, so the
+    partition columns have to belong to the key. An unpartitioned table is rewritten whole.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError(f"partition columns {list(partition_by)} have to be part of the key {list(keys)}")
     spark = df.sparkSession
-    replace_table(merge_upsert(spark.read.parquet(path), df, keys) if exists(spark, path) else df, path)
+    if not exists(spark, path):
+        df.write.partitionBy(*partition_by).parquet(path)
+    elif not partition_by:
+        replace_table(merge_upsert(spark.read.parquet(path), df, keys), path)
+    else:
+        touched = df.select(*partition_by).distinct()
+        stored = spark.read.parquet(path).join(touched, list(partition_by), "left_semi")
+        # Written aside first: a partition cannot be overwritten while it is read.
+        replace_slices(cut_lineage(merge_upsert(stored, df, keys)), path, partition_by)
 
 
 def store(df: DataFrame, path: str, *, dry_run: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -14,7 +15,6 @@ from parcelwise.functions import columns as K
 DELIMITERS = ("\t", "|", ",")
 ENCODINGS = ("utf-8", "latin-1", "cp1252")
 SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
-SAMPLE_LINES = 50
 
 
 def position() -> Column:
@@ -31,19 +31,22 @@ def position() -> Column:
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8`` when the head of the file decodes cleanly, else ``latin-1`` (which always does)."""
-    head = spark.read.text(path).limit(SAMPLE_LINES)
-    broken = head.filter(~F.is_valid_utf8("value")).limit(1).count()
-    return ENCODINGS[1] if broken else ENCODINGS[0]
+    """``utf-8`` when every line of the file decodes cleanly.
+
+    Else ``cp1252`` when the lines that do not hold a byte that only it gives a printed character, and ``latin-1``
+    otherwise. One distributed pass over the whole file.
+    """
+    lines = spark.read.text(path).filter(~F.is_valid_utf8("value")).select(F.hex(F.col("value").cast("binary")).alias("h"))
+    printed = F.col("h").rlike("^(?:[0-9A-F]{2})*[89][0-9A-F]")
+    seen = lines.agg(F.count(F.lit(1)).alias("broken"), F.count_if(printed).alias("printed")).first()
+    return ENCODINGS[0] if not seen["broken"] else ENCODINGS[2] if seen["printed"] else ENCODINGS[1]
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The most frequent delimiter of the head of the file; a tie prefers tab, then pipe."""
-    head = spark.read.text(path).limit(SAMPLE_LINES)
-    count = lambda d: F.sum(F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit(""))))
-    totals = head.agg(*[F.coalesce(count(d), F.lit(0)).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]).first()
-    best = max(range(len(DELIMITERS)), key=lambda i: (totals[i], -i))
-    return DELIMITERS[best]
+    """The most frequent delimiter of the header line; a tie prefers tab, then pipe."""
+    header = spark.read.text(path).first()
+    line = header["value"] if header else ""
+    return max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
 
 
 def read_delimited(
@@ -54,11 +57,16 @@ def read_delimited(
 ) -> DataFrame:
     """All-text scan with a ``pos`` column. Quote characters are ordinary text, short rows give nulls.
 
-    Several paths must share one header; files with different headers go through :func:`read_aliased`.
+    Delimiter and encoding are found for each path by itself. Several paths must share one header; files
+    with different headers go through :func:`read_aliased`.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    delimiter = delimiter or sniff_delimiter(spark, listed[0])
-    encoding = encoding or sniff_encoding(spark, listed[0])
+    return functools.reduce(DataFrame.unionByName, [_read_one(spark, p, delimiter, encoding) for p in listed])
+
+
+def _read_one(spark: SparkSession, path: str, delimiter: str | None, encoding: str | None) -> DataFrame:
+    delimiter = delimiter or sniff_delimiter(spark, path)
+    encoding = encoding or sniff_encoding(spark, path)
     return (
         spark.read.option("header", True)
         .option("sep", delimiter)
@@ -67,7 +75,7 @@ def read_delimited(
         .option("mode", "PERMISSIVE")
         .option("encoding", SPARK_ENCODING.get(encoding, encoding))
         .option("enforceSchema", False)
-        .csv(listed)
+        .csv(path)
         .withColumn("pos", position())
     )
 
@@ -104,7 +112,7 @@ def _coerce(raw: Column, f: Field) -> Column:
         "float": lambda: K.to_double(text),
         "decimal": lambda: K.to_decimal(text),
         "bool": lambda: K.to_bool(text),
-        "str": lambda: F.rtrim(F.substring(text, 1, f.max_length)) if f.max_length else text,
+        "str": lambda: text,
         "date": lambda: text,
     }[f.kind]()
     return value if f.default is None else F.coalesce(value, F.lit(f.default))
@@ -138,6 +146,8 @@ def apply_table(df: DataFrame, table: Table) -> DataFrame:
 
         if f.required:
             errors.append(F.when(empty, problem("Required field is empty")))
+        if f.max_length:
+            errors.append(F.when(F.length(value.cast("string")) > f.max_length, problem("Value is too long")))
         for check in f.validators:
             failed = ~F.coalesce(check(value), F.lit(False))
             errors.append(F.when(failed & ~empty if f.required else failed, problem("Validation failed")))

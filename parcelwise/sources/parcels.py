@@ -42,7 +42,7 @@ def staged_coordinates(located: DataFrame, order_by: str) -> DataFrame:
     usable = known(F.col("latitude")) & known(F.col("longitude"))
     return (
         located.select(
-            K.clean_text(F.col(account).cast("string"), 20).alias("account_number"),
+            K.clean_text(F.col(account).cast("string")).alias("account_number"),
             "latitude",
             "longitude",
             parcel_id.alias("parcel_id"),

@@ -53,6 +53,17 @@ def test_sniffing(spark, tmp_path):
     assert sniff_delimiter(spark, put(tmp_path / "b.txt", "a\tb,c\n")) == "\t"
     assert sniff_encoding(spark, put(tmp_path / "c.txt", "a\té\n", "utf-8")) == "utf-8"
     assert sniff_encoding(spark, put(tmp_path / "d.txt", "a\té\n", "latin-1")) == "latin-1"
+    assert sniff_encoding(spark, put(tmp_path / "e.txt", "a\t\u20ac\n", "cp1252")) == "cp1252"
+    late = put(tmp_path / "f.txt", "acct\towner\n" + "1\tX\n" * 100 + "2\tMUÑOZ\n", "latin-1")
+    assert sniff_encoding(spark, late) == "latin-1"
+    both = read_delimited(spark, [late, put(tmp_path / "g.txt", "acct|owner\n3|MUÑOZ\n", "utf-8")])
+    assert {r["owner"] for r in both.where("acct > 1").collect()} == {"MUÑOZ"}
+
+
+def test_long_keys_stay_apart(spark):
+    long = "9" * 20
+    rows = spark.createDataFrame([(long + "1", "A1", 1), (long + "2", "A1", 2)], "acct string, state_class string, pos int")
+    assert A.property_table(A.stage_property(rows)).count() == 2
 
 
 def test_field_errors(spark, tmp_path):
@@ -240,6 +251,18 @@ def test_table_writes(spark, tmp_path):
     T.insert_ignore(spark.createDataFrame([("a", 2025, "harris", 0), ("n", 1, "x", 5), ("n", 1, "x", 6)], df.schema), flat, ["k", "tax_year"], ["v"])
     assert sorted((r["k"], r["tax_year"], r["v"]) for r in spark.read.parquet(flat).collect()) == [("a", 2024, 1), ("a", 2025, 7), ("b", 2025, 3), ("n", 1, 5)]
     T.store(df, str(tmp_path / "dry"), dry_run=True)
+    # Of a partitioned table only the touched partitions get new files.
+    years = str(tmp_path / "years")
+    T.upsert(df, years, ["k", "county", "tax_year"], ["county", "tax_year"])
+    files = lambda: {r[0] for r in spark.read.parquet(years).select("_metadata.file_path").distinct().collect()}
+    before = files()
+    change = spark.createDataFrame([("a", 2025, "harris", 8), ("c", 2025, "harris", 4)], df.schema)
+    T.upsert(change, years, ["k", "county", "tax_year"], ["county", "tax_year"])
+    assert {f for f in before if "tax_year=2024" in f or "brazos" in f} < files()
+    T.insert_ignore(change.withColumn("v", F.lit(0)).union(change.withColumn("k", F.lit("new"))), years, ["k", "county", "tax_year"], ["v"], ["county", "tax_year"])
+    assert sorted((r["k"], r["tax_year"], r["v"]) for r in spark.read.parquet(years).collect()) == [
+        ("a", 2024, 1), ("a", 2025, 8), ("b", 2025, 3), ("c", 2025, 4), ("new", 2025, 4),
+    ]
     assert not T.exists(spark, str(tmp_path / "dry"))
     # A failing write leaves the old rows.
     with pytest.raises(Exception):

@@ -35,9 +35,9 @@ def test_protest_report_lines(spark):
     assert csv[0]["current_tax_owed"] == "4000.00" and csv[0]["tax_impact_completeness"] == "complete"
 
 
-def test_csv_per_subject(spark, tmp_path):
+def test_csv_by_subject(spark, tmp_path):
     rows = spark.createDataFrame([("s1", 1, "=x"), ("s2", 1, "y")], "subject_key string, display_rank int, address string")
-    X.write_csv_per_subject(rows, str(tmp_path / "csv"))
+    X.write_csv_by_subject(rows, str(tmp_path / "csv"), 2)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
@@ -63,8 +63,9 @@ def test_export_gate():
 
 def test_export_cap(spark):
     df = spark.range(1500).select(F.col("id").cast("string").alias("prop_id"), *[F.lit(None).cast("string").alias(c) for c in ("owner_name", "address", "city", "zip_code", "land_value", "acreage")])
-    out = X.search_export(df, X.EXPORT_B, [F.col("prop_id")])
+    out = X.search_export(df, X.EXPORT_B, [F.col("prop_id")], max_rows=1000)
     assert out.count() == 1000 and out.columns[0] == "Prop ID"
+    assert X.search_export(df, X.EXPORT_B, [F.col("prop_id")]).count() == 1500
 
 
 def test_snapshot_check(spark, tmp_path):
