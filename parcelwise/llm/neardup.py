@@ -39,6 +39,8 @@ BANDS = 24
 SIMILARITY = 0.8
 #: Texts compared in one go within a bucket, and members of a leader that go to one task.
 BLOCK = 512
+#: How often the exact bound is drawn again among the rows it left.
+BOUNDINGS = 2
 #: Bytes of text worked on in one go.
 CHUNK = 4 << 20
 
@@ -115,7 +117,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     salted = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     right = pairs.join(salted, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b")
     left = salted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    wanted = left.withColumn("r", F.col("a")).unionByName(right.withColumn("r", F.col("b")))
+    wanted = stage(left.withColumn("r", F.col("a")).unionByName(right.withColumn("r", F.col("b"))))
     # Texts of rows in no pair stay where they are.
     rows = wanted.join(_only(texts, wanted.select("r")), "r").select("a", "salt", "b", "t")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -232,8 +234,12 @@ def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, text
     Blocks of texts outside the bucket's largest component meet blocks of the whole bucket inside a task.
     """
     labelled = buckets.join(comp, "r", "left").select("key", "r", F.coalesce("comp", "r").alias("comp"))
-    able = can_link(_mixed(labelled), signed, texts, similarity)
-    rows = _mixed(labelled.join(near(able), "r").select("key", "r", "comp", F.col("n").alias("size"), "high"))
+    held = labelled
+    for _ in range(BOUNDINGS):
+        # With rows gone, more shingles of the others are held by nobody else.
+        able = can_link(_mixed(held), signed, texts, similarity)
+        held = labelled.join(near(able), "r")
+    rows = _mixed(held.select("key", "r", "comp", F.col("n").alias("size"), "high"))
     rows = rows.join(_only(signed.select("r", "sig"), rows.select("r")), "r")
     block = lambda n: F.ceil(n / BLOCK).cast("int")
     outside, whole = block(F.col("all") - F.col("most")), block(F.col("all"))
