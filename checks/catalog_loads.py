@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import plain, query
 from checks.views import duck_view as V
 from checks.views import spark_view as view
+from parcelwise.operators import jurisdiction as J
 from parcelwise.operators import rooms as R
 from parcelwise.operators.facts import land_totals, newest_loaded_year, primary_building, primary_improvement
 from parcelwise.operators.keyed import append_new, first_per_key, merge_upsert, newest_year
 from parcelwise.operators.loading import deactivate_other_batches, match_counts, outcome_counts
 from parcelwise.plans import roll_a as A
 from parcelwise.plans import roll_b as B
+from parcelwise.session import shared_folder
 from parcelwise.sources import fixed_width as W
-from parcelwise.sources.delimited import Field, Table, apply_table, valid_rows
+from parcelwise.sources.delimited import Field, Table, apply_table, read_delimited, valid_rows
 from parcelwise.sources.pages import adopted_rates, archive_links, newest_archive, page_links
 from parcelwise.sources.parcels import locate, staged_coordinates
 
@@ -529,7 +534,7 @@ def _rings(spark, d):
     f"SELECT event_id, round(y0 + h / 2, 3) AS latitude, round(x0 + w / 2, 3) AS longitude FROM {V('v_ring')} r",
 )
 def ring_centroids(spark, d):
-    return plain(locate(_rings(spark, d), planar=False).select("event_id", "latitude", "longitude"), 3)
+    return plain(locate(_rings(spark, d), "EPSG:4326").select("event_id", "latitude", "longitude"), 3)
 
 
 @query(
@@ -538,4 +543,78 @@ def ring_centroids(spark, d):
                arg_max(PARCEL_ID, event_id) AS parcel_id FROM {V('v_ring')} r GROUP BY 1""",
 )
 def staged_coordinates_query(spark, d):
-    return plain(staged_coordinates(locate(_rings(spark, d), planar=False), "event_id"), 3)
+    return plain(staged_coordinates(locate(_rings(spark, d), "EPSG:4326"), "event_id"), 3)
+
+
+def _projected_sql(lat0: float, lon0: float, lat1: float, lat2: float, east: float, north: float) -> str:
+    """The inverse projection in SQL, with its own constants and by iteration instead of a series."""
+    f = 1 / 298.257222101
+    e = math.sqrt(2 * f - f * f)
+    p0, p1, p2 = (math.radians(p) for p in (lat0, lat1, lat2))
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
+    scale = 6378137.0 * m(p1) / (n * t(p1) ** n)
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    iterated, last = "", "p"
+    for i in range(7):
+        iterated += f""",
+    s{i} AS (SELECT *, pi() / 2 - 2 * atan(t * pow((1 - {d(e)} * sin(phi)) / (1 + {d(e)} * sin(phi)), {d(e / 2)})) AS next FROM {last}),
+    q{i} AS (SELECT * EXCLUDE (phi, next), next AS phi FROM s{i})"""
+        last = f"q{i}"
+    return f"""WITH c AS (
+      SELECT event_id, (x0 + w / 2) * 1200.0::DOUBLE / 3937 - {d(east)} AS x,
+             {d(scale * t(p0) ** n)} - ((y0 + h / 2) * 1200.0::DOUBLE / 3937 - {d(north)}) AS y FROM {V('v_ring')} r),
+    a AS (SELECT *, pow(sqrt(x * x + y * y) / {d(scale)}, {d(1 / n)}) AS t FROM c),
+    p AS (SELECT *, pi() / 2 - 2 * atan(t) AS phi FROM a){iterated}
+    SELECT event_id, round(degrees(phi), 5) AS latitude, round(degrees(atan2(x, y)) / {d(n)} + {d(lon0)}, 5) AS longitude FROM {last}"""
+
+
+@query("projected_centroids_a", _projected_sql(27 + 50 / 60, -99.0, 30 + 17 / 60, 28 + 23 / 60, 600000.0, 4000000.0))
+def projected_centroids_a(spark, d):
+    return plain(locate(_rings(spark, d), "EPSG:2278").select("event_id", "latitude", "longitude"), 5)
+
+
+@query("projected_centroids_b", _projected_sql(29 + 40 / 60, -(100 + 20 / 60), 31 + 53 / 60, 30 + 7 / 60, 700000.0, 3000000.0))
+def projected_centroids_b(spark, d):
+    return plain(locate(_rings(spark, d), "EPSG:2277").select("event_id", "latitude", "longitude"), 5)
+
+
+@query(
+    "long_keys_kept",
+    """SELECT concat('ACCOUNT-OF-MORE-THAN-TWENTY-CHARACTERS-', c_custkey) AS account_number, c_name AS owner_name FROM customer""",
+)
+def long_keys_kept(spark, d):
+    raw = spark.read.parquet(f"{d}/customer.parquet").select(
+        F.concat(F.lit("ACCOUNT-OF-MORE-THAN-TWENTY-CHARACTERS-"), F.col("c_custkey").cast("string")).alias("acct"),
+        F.col("c_name").alias("mailto"),
+        F.lit("A1").alias("state_class"),
+        F.col("c_custkey").alias("pos"),
+    )
+    return A.property_table(A.stage_property(raw)).select("account_number", "owner_name")
+
+
+@query(
+    "long_code_list",
+    """SELECT CAST(o_custkey AS VARCHAR) AS account_number, string_agg(DISTINCT concat('EXEMPTION-', o_orderkey), '+' ORDER BY concat('EXEMPTION-', o_orderkey)) AS code
+       FROM orders GROUP BY 1""",
+)
+def long_code_list(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_custkey").cast("string").alias("account_number"),
+        F.lit("U").alias("tax_unit_code"),
+        F.concat(F.lit("EXEMPTION-"), F.col("o_orderkey").cast("string")).alias("exemption_code"),
+        F.lit("").alias("description"),
+    )
+    return J.itemised_codes(rows).select("account_number", "code")
+
+
+@query("late_encoding", "SELECT c_custkey, CASE WHEN c_custkey % 100 = 99 THEN concat('MUÑOZ ', c_name) ELSE c_name END AS owner FROM customer")
+def late_encoding(spark, d):
+    """A file whose first byte beyond ASCII comes late, written, found to be latin-1 and read back."""
+    k = F.col("c_custkey")
+    owner = F.when(k % 100 == 99, F.concat(F.lit("MUÑOZ "), "c_name")).otherwise(F.col("c_name"))
+    path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("c_custkey"), owner.alias("owner"))
+    rows.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
+    return read_delimited(spark, path).select(F.col("c_custkey").cast("long"), "owner")

@@ -114,9 +114,20 @@ TEXAS_CENTRAL = {
     "false_northing_m": 3000000.0,
     "metres_per_unit": 1200.0 / 3937.0,
 }
+# Published parameters of EPSG:2278 (NAD83 / Texas South Central, US survey feet).
+TEXAS_SOUTH_CENTRAL = TEXAS_CENTRAL | {
+    "lat_origin": 27.0 + 50.0 / 60.0,
+    "lon_origin": -99.0,
+    "parallel_1": 30.0 + 17.0 / 60.0,
+    "parallel_2": 28.0 + 23.0 / 60.0,
+    "false_easting_m": 600000.0,
+    "false_northing_m": 4000000.0,
+}
+#: The systems a parcel table may name; None: the rings are in degrees already.
+SYSTEMS = {"EPSG:2277": TEXAS_CENTRAL, "EPSG:2278": TEXAS_SOUTH_CENTRAL, "EPSG:4326": None}
 
 
-def lambert_to_wgs84(x: Column, y: Column, crs: dict[str, float] = TEXAS_CENTRAL) -> Column:
+def lambert_to_wgs84(x: Column, y: Column, crs: dict[str, float]) -> Column:
     """Inverse Lambert conformal conic (two parallels): planar ``x, y`` to ``struct<lat,lon>``.
 
     The cone constants are scalars folded on the driver; the latitude series is evaluated as

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import columns as K
-from parcelwise.functions.geo import TEXAS_CENTRAL, lambert_to_wgs84, with_ring_centroid
+from parcelwise.functions.geo import SYSTEMS, lambert_to_wgs84, with_ring_centroid
 from parcelwise.sources.delimited import resolve
 
 # Column names under which a parcel table may carry its account and parcel id.
@@ -14,11 +14,15 @@ ACCOUNT_COLUMNS = ("HCAD_NUM", "ACCT", "ACCOUNT", "ACCOUNT_NUM", "ACCT_NUM")
 PARCEL_COLUMNS = ("PARCEL_ID", "PARCELID", "PRCL_ID", "HCAD_NUM")
 
 
-def locate(parcels: DataFrame, ring: str = "ring", planar: bool = True, crs: dict = TEXAS_CENTRAL) -> DataFrame:
-    """Add ``latitude`` and ``longitude`` of the parcel centroid; ``planar=False`` for degree rings."""
+def locate(parcels: DataFrame, crs: str, ring: str = "ring") -> DataFrame:
+    """Add ``latitude`` and ``longitude`` of the parcel centroid; ``crs`` is the table's own system.
+
+    The counties publish in different systems (A in EPSG:2278, B in EPSG:2277), so there is no default.
+    """
+    system = SYSTEMS[crs]
     centre = with_ring_centroid(parcels, ring, "_c")
-    if planar:
-        centre = centre.withColumn("_g", lambert_to_wgs84(F.col("_c.x"), F.col("_c.y"), crs))
+    if system is not None:
+        centre = centre.withColumn("_g", lambert_to_wgs84(F.col("_c.x"), F.col("_c.y"), system))
         return centre.withColumns({"latitude": F.col("_g.lat"), "longitude": F.col("_g.lon")}).drop("_c", "_g")
     return centre.withColumns({"latitude": F.col("_c.y"), "longitude": F.col("_c.x")}).drop("_c")
 

@@ -108,17 +108,17 @@ def test_projection_inverts_a_known_point(spark):
     """The false origin of the planar system is its latitude and longitude of origin."""
     m = 1200.0 / 3937.0
     row = spark.sql(f"select {700000.0 / m}D x, {3000000.0 / m}D y").select(
-        G.lambert_to_wgs84(F.col("x"), F.col("y")).alias("g")
+        G.lambert_to_wgs84(F.col("x"), F.col("y"), c).alias("g")
     ).first()["g"]
     assert row["lat"] == pytest.approx(29.0 + 40 / 60, abs=1e-9)
     assert row["lon"] == pytest.approx(-(100 + 20 / 60), abs=1e-9)
 
 
-def test_projection_round_trip(spark):
+@pytest.mark.parametrize("c, place", [(G.TEXAS_CENTRAL, (30.6280, -96.3344)), (G.TEXAS_SOUTH_CENTRAL, (29.7604, -95.3698))])
+def test_projection_round_trip(spark, c, place):
     """Forward projection computed here in plain Python, inverse by the library."""
     import math
 
-    c = G.TEXAS_CENTRAL
     f = 1 / c["inverse_flattening"]
     e = math.sqrt(2 * f - f * f)
     m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
@@ -126,13 +126,13 @@ def test_projection_round_trip(spark):
     p0, p1, p2 = (math.radians(c[k]) for k in ("lat_origin", "parallel_1", "parallel_2"))
     n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
     big = m(p1) / (n * t(p1) ** n)
-    lat, lon = math.radians(30.6280), math.radians(-96.3344)
+    lat, lon = map(math.radians, place)
     rho, rho0 = c["semi_major_m"] * big * t(lat) ** n, c["semi_major_m"] * big * t(p0) ** n
     theta = n * (lon - math.radians(c["lon_origin"]))
     x = (rho * math.sin(theta) + c["false_easting_m"]) / c["metres_per_unit"]
     y = (rho0 - rho * math.cos(theta) + c["false_northing_m"]) / c["metres_per_unit"]
-    got = spark.sql(f"select {x!r}D x, {y!r}D y").select(G.lambert_to_wgs84(F.col("x"), F.col("y")).alias("g")).first()["g"]
-    assert got["lat"] == pytest.approx(30.6280, abs=1e-8) and got["lon"] == pytest.approx(-96.3344, abs=1e-8)
+    got = spark.sql(f"select {x!r}D x, {y!r}D y").select(G.lambert_to_wgs84(F.col("x"), F.col("y"), c).alias("g")).first()["g"]
+    assert got["lat"] == pytest.approx(place[0], abs=1e-8) and got["lon"] == pytest.approx(place[1], abs=1e-8)
 
 
 def test_ring_centroid_shapes(spark):

@@ -229,14 +229,14 @@ def test_rates_from_a_page(spark):
 def test_parcels_of_both_counties(spark):
     ring = "array(named_struct('x',3540000d,'y',10210000d), named_struct('x',3540100d,'y',10210000d), named_struct('x',3540100d,'y',10210100d), named_struct('x',3540000d,'y',10210100d))"
     df = spark.sql(f"select 1 n, 42D PROP_ID, '5000' situs_num, 'NULL' situs_stre, 'SILVER HILL' situs_st_1, 'RD' situs_st_2, cast(null as string) situs_unit, 'A1' state_cd, 1500D living_are, 'R4' class_cd, 0 yr_built, 1998 yr_blt, {ring} ring")
-    row = staged_parcels(locate(df), "n").first()
+    row = staged_parcels(locate(df, "EPSG:2277"), "n").first()
     assert row["prop_id"] == "000000000042" and row["situs_address"] == "5000 SILVER HILL RD" and row["year_built"] == 1998
     assert 30 < row["latitude"] < 31 and -97 < row["longitude"] < -96
     account = conform(spark.createDataFrame([("000000000042", 2025), ("000000000043", 2025)], "prop_id string, tax_year int"), ACCOUNT)
-    updated = {r["prop_id"]: r for r in B.update_parcels(account, staged_parcels(locate(df), "n")).collect()}
+    updated = {r["prop_id"]: r for r in B.update_parcels(account, staged_parcels(locate(df, "EPSG:2277"), "n")).collect()}
     assert updated["000000000042"]["matched"] and updated["000000000042"]["class_code"] == "R4" and not updated["000000000043"]["matched"]
     twice = df.select("ring", F.lit("7").alias("ACCT"), F.lit("P").alias("PRCL_ID"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
-    assert staged_coordinates(locate(twice), "n").count() == 1
+    assert staged_coordinates(locate(twice, "EPSG:2277"), "n").count() == 1
 
 
 def test_table_writes(spark, tmp_path):
