@@ -168,6 +168,15 @@ def _alike(first: np.ndarray, second: np.ndarray, least: int) -> tuple[np.ndarra
     return np.nonzero(same >= least)
 
 
+def _first_band(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, bands: int) -> np.ndarray:
+    """The first band in which each pair of places agrees, found in blocks of bounded size."""
+    out = np.empty(len(i), dtype=np.int64)
+    for k in range(0, len(i), 1 << 14):
+        same = first[i[k : k + (1 << 14)]] == second[j[k : k + (1 << 14)]]
+        out[k : k + (1 << 14)] = same.reshape(len(same), bands, -1).all(axis=2).argmax(axis=1)
+    return out
+
+
 def _signatures(column: pa.Array, values: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, values)
 
@@ -228,23 +237,25 @@ def can_link(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: f
     return stage(bounded.select("r", "n", high.alias("high")).where(F.col("high") >= F.col("n") * similarity))
 
 
-def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, values: int) -> DataFrame:
+def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, values: int, bands: int) -> DataFrame:
     """``(a, b)`` of different components within a bucket that can be a link and whose signatures look similar.
 
-    Blocks of texts outside the bucket's largest component meet blocks of the whole bucket inside a task.
+    Blocks of texts outside the bucket's largest component meet blocks of the whole bucket inside a task. A
+    pair is written in the first band that brings it together, once.
     """
-    labelled = buckets.join(comp, "r", "left").select("key", "r", F.coalesce("comp", "r").alias("comp"))
+    labelled = buckets.join(comp, "r", "left").select("key", "band", "r", F.coalesce("comp", "r").alias("comp"))
     held = labelled
     for _ in range(BOUNDINGS):
         # With rows gone, more shingles of the others are held by nobody else.
         able = can_link(_mixed(held), signed, texts, similarity)
         held = labelled.join(near(able), "r")
-    rows = _mixed(held.select("key", "r", "comp", F.col("n").alias("size"), "high"))
+    rows = _mixed(held.select("key", "band", "r", "comp", F.col("n").alias("size"), "high"))
     rows = rows.join(_only(signed.select("r", "sig"), rows.select("r")), "r")
     block = lambda n: F.ceil(n / BLOCK).cast("int")
     outside, whole = block(F.col("all") - F.col("most")), block(F.col("all"))
-    columns = ["side", "r", "comp", "size", "high", "sig"]
-    seek = rows.where("comp <> largest").select(
+    rows = rows.withColumn("out", F.col("comp") != F.col("largest"))
+    columns = ["side", "band", "r", "comp", "out", "size", "high", "sig"]
+    seek = rows.where("out").select(
         "*", F.pmod(F.hash("r"), outside).alias("x"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("y"), F.lit(0).alias("side")
     ).select("key", "x", "y", *columns)
     meet = rows.select(
@@ -265,15 +276,19 @@ def remaining_pairs(buckets: DataFrame, comp: DataFrame, signed: DataFrame, text
             if not others.num_rows or not held:
                 continue
             seen = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            i, j = _alike(_signatures(seen.column("sig"), values), _signatures(others.column("sig"), values), least)
+            first, second = _signatures(seen.column("sig"), values), _signatures(others.column("sig"), values)
+            i, j = _alike(first, second, least)
             a, b = seen.column("r").to_numpy()[i], others.column("r").to_numpy()[j]
             apart = seen.column("comp").to_numpy()[i] != others.column("comp").to_numpy()[j]
+            # Two texts that both lie outside meet twice.
+            apart &= (a < b) | ~others.column("out").to_numpy(zero_copy_only=False)[j]
+            apart &= _first_band(first, second, i, j, bands) == part.column("band").to_numpy()[0]
             for one, i1, two, i2 in ((seen, i, others, j), (others, j, seen, i)):
                 apart &= one.column("size").to_numpy()[i1] <= two.column("high").to_numpy()[i2]
             low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def classes(numbered: DataFrame, similarity: float = SIMILARITY, values: int = VALUES, bands: int = BANDS, counted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -289,13 +304,13 @@ def classes(numbered: DataFrame, similarity: float = SIMILARITY, values: int = V
     repeats = copies.where("r <> rep").select("r")
     signed = stage(sign(numbered.join(near(repeats), "r", "left_anti"), values, bands, counted))
     flat = signed.select("r", F.posexplode("bands").alias("band", "hash"))
-    flat = flat.select("r", F.xxhash64("band", "hash").alias("key"))
+    flat = flat.select("r", "band", F.xxhash64("band", "hash").alias("key"))
     full = stage(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = stage(flat.join(near(full), "key"))
 
     links = stage(verified(leader_pairs(buckets, signed, similarity, values), numbered, similarity))
     comp = components(links)
-    more = stage(verified(remaining_pairs(buckets, comp, signed, numbered, similarity, values), numbered, similarity))
+    more = stage(verified(remaining_pairs(buckets, comp, signed, numbered, similarity, values, bands), numbered, similarity))
     if more.limit(1).count():
         links = links.unionByName(more)
         comp = components(links)

@@ -211,9 +211,12 @@ def test_remaining_pairs_finds_what_leaders_miss(spark):
     texts = [" ".join(f"u{rng.integers(900)}" for _ in range(120)), base, mutated(rng, base, 0.01)]
     rows = spark.createDataFrame(list(enumerate(texts)), "r long, t string")
     signed = neardup.sign(rows)
-    buckets = spark.createDataFrame([(1, r, 3) for r in range(3)], "key long, r long, n long")
+    # The bucket of the first band that the two like texts share.
+    bands = {r["r"]: r["bands"] for r in signed.collect()}
+    first = next(i for i in range(neardup.BANDS) if bands[1][i] == bands[2][i])
+    buckets = spark.createDataFrame([(1, first, r, 3) for r in range(3)], "key long, band int, r long, n long")
     comp = spark.createDataFrame([], "r long, comp long")
-    pairs = neardup.remaining_pairs(buckets, comp, signed, rows, 0.8, neardup.VALUES)
+    pairs = neardup.remaining_pairs(buckets, comp, signed, rows, 0.8, neardup.VALUES, neardup.BANDS)
     assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
 
 
