@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.catalog_comps import a_comps, a_facts
 from checks.registry import plain, query
+from checks.catalog_years import _PAIRED, _UNITS, _r2
 from checks.scoresql import (
     comps_ctes, curve_sql, difference_sql, half_up, jaccard_sql, percentage_sql, ranked_sql, category_sql, FACTS_A,
 )
@@ -511,7 +512,7 @@ def clean_columns(spark, d):
 
 @query(
     "comps_export",
-    f"""WITH {comps_ctes('a', 2.0, 2000, 10, 30.0)}
+    f"""WITH {comps_ctes('a', 10.0, None, 10, 30.0)}
     SELECT c.subject_key, c.comp_key, c.address, format('{{:.1f}}', score) AS similarity_score, match_label AS similarity_label,
            coalesce(CAST(round(CAST(nullif(c.assessed, 0) AS DECIMAL(18,4)), 2)::DECIMAL(18,2) AS VARCHAR), '') AS assessed_value,
            coalesce(CAST(CAST({half_up('ppsf', 2)} AS DECIMAL(18,2)) AS VARCHAR), '') AS value_per_sqft
@@ -546,8 +547,71 @@ def report_heads(spark, d):
     return X.exploded_lines(X.report_lines(inputs, "harris")).filter("line_no < 4")
 
 
-@query("report_lines")
+def _report_sql() -> str:
+    """The lines of every report put together in SQL from the parts that have queries of their own."""
+    units = (
+        _UNITS.replace(f"FROM {V('v_tax_subject')} s", "FROM taxed s")
+        .replace(V("v_tax_history"), "hist_a")
+        .replace(V("v_jur"), "jur_a")
+        .replace(V("v_unit_rate"), "rate_a")
+    )
+    paired = _PAIRED.replace(V("v_history"), "hist_a")
+    return f"""WITH RECURSIVE {comps_ctes('a', 10.0, None, 50, 52.0)},
+    hist_a AS (SELECT * FROM {V('v_history')} h WHERE county = 'harris'),
+    jur_a AS (SELECT * FROM {V('v_jur')} j WHERE county = 'harris'),
+    rate_a AS (SELECT * FROM {V('v_unit_rate')} r WHERE county = 'harris'),
+    agg AS (SELECT c.subject_key, median(ppsf) AS med, count(ppsf) AS n FROM comps c JOIN priced p ON p.subject_key = c.subject_key GROUP BY 1),
+    taxed AS (SELECT p.subject_key AS account_number, NULL::INT AS requested_year,
+                     CASE WHEN sppsf IS NOT NULL AND n > 0 THEN CAST(CAST(med AS DECIMAL(20,10)) * CAST(living_area AS DECIMAL(16,4)) AS DECIMAL(24,6)) END AS median_assessed_value
+              FROM priced p LEFT JOIN agg USING (subject_key)),
+    {units.lstrip()},
+    t AS (SELECT account_number, count(*) AS n_units, count(rate) AS known, count(warning) AS missing,
+                 count(*) FILTER (WHERE warning = 'Missing taxable value') AS no_base, sum(cur_tax) AS cur_tax, sum(med_tax) AS med_tax FROM units GROUP BY 1),
+    f AS (SELECT a.account_number, a.yr, a.median_assessed_value AS med0, t.n_units, t.known, t.missing, t.no_base, t.cur_tax, t.med_tax,
+                 CASE WHEN t.n_units IS NULL OR known = 0 THEN 'missing' WHEN missing > 0 OR known < n_units THEN 'partial' ELSE 'complete' END AS comp
+          FROM asked a LEFT JOIN t ON t.account_number = a.account_number),
+    tax AS (SELECT *, coalesce({_r2('cur_tax')}, 0.0) AS c, coalesce({_r2('med_tax')}, 0.0) AS m,
+             CASE WHEN yr IS NULL THEN 'No assessment year is available for this account.'
+                WHEN n_units IS NULL THEN 'No jurisdiction/exemption rows were found for this account and year.'
+                ELSE concat_ws(' | ',
+                  CASE WHEN med0 IS NULL OR med0 < 0 THEN 'Median assessed value is missing; median tax scenario was not computed.' END,
+                  CASE WHEN known < n_units THEN 'One or more jurisdiction rates are missing for this tax year.' END,
+                  nullif(array_to_string(list_transform(range(no_base), lambda x: 'One or more units are missing current taxable/assessed value.'), ' | '), ''),
+                  CASE WHEN comp <> 'complete' THEN 'Tax impact is partial because one or more required inputs were missing.' END) END AS warnings FROM f),
+    {paired.lstrip()},
+    b AS (SELECT *, coalesce(nullif(prior_appraised_value, 0), p_appraised, p_assessed) AS prior,
+                 coalesce(nullif(appraised_value, 0), assessed_value) AS now, upper(trim(coalesce(cap_account, ''))) = 'Y' AS home FROM paired),
+    capped AS (SELECT *, prior IS NOT NULL AND now IS NOT NULL AS judged,
+                 round(least(CAST(prior AS DECIMAL(18,2)) * (CASE WHEN home THEN CAST('1.10' AS DECIMAL(3,2)) ELSE CAST('1.20' AS DECIMAL(3,2)) END)
+                             + coalesce(new_construction_value, 0), CAST(market_value AS DECIMAL(18,2))), 2) AS allowed FROM b),
+    years AS (SELECT account_number AS key, list(concat(tax_year, ': ',
+                 CASE WHEN assessed_value <> 0 THEN concat('$', format('{{:,}}', CAST(round_even(assessed_value, 0) AS BIGINT))) ELSE '-' END, ', YoY ',
+                 coalesce(CAST(CAST(round(CAST((CAST(assessed_value AS DOUBLE) - CAST(p_assessed AS DOUBLE)) / nullif(CAST(p_assessed AS DOUBLE), 0) * 100 AS DECIMAL(30, 8)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || '%', '-'),
+                 ', ', CASE WHEN NOT judged THEN 'Needs review' WHEN now - allowed > 0 THEN 'Over cap' ELSE 'Within cap' END) ORDER BY tax_year DESC) AS lines
+              FROM capped GROUP BY 1),
+    shown AS (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY score DESC, shown_distance ASC NULLS LAST, ppsf ASC NULLS LAST, comp_key) AS nth FROM comps),
+    evidence AS (SELECT subject_key AS key, list(concat(address, ': score ', format('{{:.1f}}', score), coalesce(', $' || format('{{:,.2f}}', ppsf) || '/sqft', '')) ORDER BY nth) AS lines
+                 FROM shown WHERE nth <= 10 GROUP BY 1),
+    whole AS (
+      SELECT s.key,
+        ['Harris County Property Tax Protest Evidence Report', concat('Account Number: ', s.key), concat('Property: ', s.address),
+         concat('Assessed Value: ', CASE WHEN s.assessed <> 0 THEN concat('$', format('{{:,}}', CAST(round_even(s.assessed, 0) AS BIGINT))) ELSE 'unavailable' END)]
+        || CASE WHEN s.living_area <> 0 THEN [concat('Living Area: ', format('{{:,}}', CAST(round_even(s.living_area, 0) AS BIGINT)), ' sqft')] ELSE [] END
+        || CASE WHEN s.living_area <> 0 AND p.sppsf IS NOT NULL THEN [concat('Subject Value/Sqft: $', format('{{:,.2f}}', p.sppsf))] ELSE [] END
+        || CASE WHEN y.lines IS NOT NULL THEN ['', 'Assessment History'] || y.lines ELSE [] END
+        || CASE WHEN e.lines IS NOT NULL THEN ['', 'Comparable Evidence'] || e.lines ELSE [] END
+        || CASE WHEN x.account_number IS NOT NULL THEN ['', 'Tax Impact (Estimated)', concat('Tax Year Used: ', coalesce(CAST(x.yr AS VARCHAR), '-'), ' (', x.comp, ')'),
+             concat('Current Taxes Owed: $', format('{{:,.2f}}', x.c)), concat('Median-Scenario Taxes Owed: $', format('{{:,.2f}}', x.m)),
+             concat('Estimated Annual Savings: $', format('{{:,.2f}}', round(greatest(0.0, x.c - x.m), 2)))] ELSE [] END
+        || CASE WHEN x.warnings <> '' THEN [concat('Warnings: ', x.warnings)] ELSE [] END AS lines
+      FROM subjects s JOIN priced p ON p.subject_key = s.key LEFT JOIN years y ON y.key = s.key LEFT JOIN evidence e ON e.key = s.key
+           LEFT JOIN tax x ON x.account_number = s.key)
+    SELECT key, CAST(unnest(range(len(lines))) AS INT) AS line_no, unnest(lines) AS line FROM whole"""
+
+
+@query("report_lines", _report_sql())
 def report_lines(spark, d):
+    """Every line of every report, by the search at its default radius."""
     facts = cut_lineage(a_facts(spark, d))
     shared = SharedTables(view(spark, d, "v_history"), view(spark, d, "v_unit_rate"), view(spark, d, "v_jur"))
     comps = protest_comps(facts, facts, COUNTY_A_SPEC, 52)
