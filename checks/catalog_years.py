@@ -240,6 +240,40 @@ def jur_proof_antijoin(spark, d):
     return plain(J.unproven_pairs(rows, base).select("account_number", "tax_unit_code", "gross", "net"))
 
 
+@query(
+    "jur_proof_wrong_rows",
+    f"""WITH {_FIRST_BASE}
+    SELECT account_number, tax_unit_code, CAST(gross AS DOUBLE) AS gross, CAST(net AS DOUBLE) AS net
+    FROM first_base WHERE net IS NOT NULL
+      AND greatest(gross - CASE WHEN gross > net THEN gross - net + CASE WHEN length(account_number) % 2 = 0 THEN 1 ELSE 0 END ELSE 0 END, 0) IS DISTINCT FROM net""",
+)
+def jur_proof_wrong_rows(spark, d):
+    """The proof sees rows whose exemption is a dollar too high."""
+    rows, base = _jur_rows(spark, d)
+    wrong = F.col("exemption_amount") + F.when(F.length("account_number") % 2 == 0, 1).otherwise(0)
+    rows = rows.withColumn("exemption_amount", wrong.cast("decimal(14,2)"))
+    return plain(J.unproven_pairs(rows, base).select("account_number", "tax_unit_code", "gross", "net"))
+
+
+@query(
+    "exemption_filter",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS account_number, CAST(l_suppkey AS VARCHAR) AS tax_unit_code,
+              CASE l_returnflag WHEN 'A' THEN 'RES' ELSE 'HIS' END AS exemption_code, round(l_quantity, 2) AS amount
+       FROM lineitem WHERE l_returnflag <> 'N' AND l_discount > 0""",
+)
+def exemption_filter(spark, d):
+    """Placeholder categories and zero amounts go, control characters are taken out of texts."""
+    k = F.col("l_returnflag")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("\x07")).alias("acct"),
+        F.concat(F.lit("\x00"), F.col("l_suppkey").cast("string")).alias("tax_district"),
+        F.when(k == "A", "res").when(k == "R", " his").otherwise("none").alias("exempt_cat"),
+        F.when(F.col("l_discount") > 0, F.round("l_quantity", 2).cast("decimal(14,2)").cast("string")).otherwise(F.lit("0")).alias("exempt_val"),
+        F.lit(1).alias("pos"),
+    )
+    return plain(J.stage_exemptions(rows).select("account_number", "tax_unit_code", "exemption_code", "amount"))
+
+
 @query("codes_listagg", f"WITH {_CODES} SELECT account_number, tax_unit_code, code, descr FROM codes")
 def codes_listagg(spark, d):
     return J.itemised_codes(view(spark, d, "v_exempt"))

@@ -85,6 +85,23 @@ def search_page(df: DataFrame, order: Sequence[Column], page: int = 1, rows: int
     return df.orderBy(*order).offset((max(1, page) - 1) * rows).limit(rows)
 
 
+def page_after(df: DataFrame, order: Sequence[str], last: Mapping[str, object] | None = None, rows: int = PAGE_ROWS) -> DataFrame:
+    """The page that follows the row ``last``, by ascending columns ``order`` (nulls last) that end in a key.
+
+    ``last`` holds those columns of the last row of the page before; None asks for the first page. A deep
+    page costs no more than the first: earlier rows are filtered out and never sorted.
+    """
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name in order:
+            value = F.lit(last[name])
+            higher = (F.col(name) > value) | F.col(name).isNull() if last[name] is not None else F.lit(False)
+            beyond = beyond | (equal & F.coalesce(higher, F.lit(False)))
+            equal = equal & F.col(name).eqNullSafe(value)
+        df = df.filter(beyond)
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(rows)
+
+
 def page_or_last(found: DataFrame, order: Sequence[Column], page: int = 1, rows: int = PAGE_ROWS) -> DataFrame:
     """As :func:`search_page`, with a page beyond the end showing the last one (counts the matches)."""
     last = max(1, -(-found.count() // rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -366,19 +368,25 @@ def history_range(spark: SparkSession, root: str, start_year: int, end_year: int
 # ------------------------------------------------------------------------------- whole roll
 
 
-def load_roll(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Staged and final tables of one roll export directory."""
+def load_roll(
+    spark: SparkSession, root: str, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> dict[str, DataFrame]:
+    """Staged and final tables of one roll export directory.
+
+    ``hold`` is applied to every table that others are made from; a load that publishes passes one
+    that writes the table and reads it back.
+    """
     paths = files.list_files(spark, root, ".txt")
     files.require_files(files.missing_account_files(paths) + files.missing_building_files(paths), root)
 
     def rows(table: str, sources: dict) -> DataFrame:
         return read_aliased(spark, files.table_files(paths, table), sources, delimiter="\t", encoding="latin-1")
 
-    staged_property = stage_property_rows(rows(files.ACCOUNT_STEM, PROPERTY_SOURCES))
-    prop = property_table(staged_property)
-    pivot = fixtures_pivot(fixture_rows(rows(files.FIXTURE_STEM, FIXTURE_SOURCES)))
-    staged_building = stage_building_rows(rows(files.BUILDING_STEM, BUILDING_SOURCES), prop, pivot)
-    staged_feature = stage_feature_rows(rows(files.FEATURE_STEM, FEATURE_SOURCES), prop)
+    staged_property = hold(stage_property_rows(rows(files.ACCOUNT_STEM, PROPERTY_SOURCES)))
+    prop = hold(property_table(staged_property))
+    pivot = hold(fixtures_pivot(fixture_rows(rows(files.FIXTURE_STEM, FIXTURE_SOURCES))))
+    staged_building = hold(stage_building_rows(rows(files.BUILDING_STEM, BUILDING_SOURCES), prop, pivot))
+    staged_feature = hold(stage_feature_rows(rows(files.FEATURE_STEM, FEATURE_SOURCES), prop))
     return {
         "staged_property": staged_property,
         "staged_building": staged_building,

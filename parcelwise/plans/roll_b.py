@@ -12,6 +12,7 @@ from parcelwise.operators.loading import update_from
 from parcelwise.schemas import (
     ACCOUNT, ASSESSMENT_HISTORY, CHARACTERISTIC, COUNTY_B, FEATURE_LONG, IMPROVEMENT, IMPROVEMENT_DETAIL, LAND, conform,
 )
+from parcelwise.session import cut_lineage
 from parcelwise.sources import files
 from parcelwise.sources import fixed_width as W
 
@@ -193,14 +194,23 @@ def history_range(
     """All years under ``root/<year>/``, each passing the plausibility gate before any is returned."""
     out = None
     for year, directory in files.year_directories(root, start_year, end_year).items():
-        path = files.newest_copy(files.list_files(spark, directory, ".TXT"), W.FILES["entity_info"])
-        files.require_files([] if path else [W.FILES["entity_info"]], directory)
-        rows = W.for_year(W.read_fixed_width(spark, path, W.ENTITY_INFO), year)
-        one = require_sane_order(history_rollup(rows, year, accounts))
+        one = history_of(spark, directory, year, accounts)
+        files.require_files([] if one is not None else [W.FILES["entity_info"]], directory)
+        # Written once: the gate and whoever stores the year read the same rows.
+        one = require_sane_order(cut_lineage(one))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def history_of(spark: SparkSession, directory: str, year: int, accounts: DataFrame | None = None) -> DataFrame | None:
+    """The history rows of one export directory, None when it has no entity file."""
+    path = files.newest_copy(files.list_files(spark, directory, ".TXT"), W.FILES["entity_info"])
+    if not path:
+        return None
+    rows = W.for_year(W.read_fixed_width(spark, path, W.ENTITY_INFO), year)
+    return history_rollup(rows, year, accounts)
+
+
 # ------------------------------------------------------------------------------- whole roll
 
 

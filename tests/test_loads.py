@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parcelwise.operators import jurisdiction as J
 from parcelwise.operators.loading import TooManyInvalidRows, outcome_counts, require_valid
 from parcelwise.operators.rooms import fixture_rows, fixtures_pivot
+from parcelwise.plans import publish as P
 from parcelwise.plans import roll_a as A
 from parcelwise.plans import roll_b as B
 from parcelwise.schemas import ACCOUNT, conform
@@ -109,6 +110,43 @@ def test_whole_roll_a(spark, tmp_path):
         require_valid(out["staged_building"], 1)
 
 
+def _small_roll(root):
+    put(root / "real_acct.txt", ACCOUNT_HEAD + account_line("1") + account_line("2", "F1"))
+    put(root / "building_res.txt", "acct\tbld_num\timprv_type\n1\t1\tT\n9\t1\tT\n")
+    put(root / "fixtures.txt", "acct\tbld_num\ttype\ttype_dscr\tunits\n1\t1\tRMB\tx\t4\n")
+    put(root / "extra_features.txt", "acct\tbld_num\tcount\tcd\tdscr\n1\t1\t1\tOLD\tsummary\n")
+    put(root / "extra_features_detail1.txt", "acct\tcd\tdscr\tgrade\tbld_num\tunits\tasd_val\n1\tPOOL\tPool\tA\t1\t2\t5000\n")
+    put(root / "extra_features_detail2.txt", "acct\tcd\tdscr\tgrade\tbld_num\tunits\tasd_val\n1\tGAR\tG\tA\t1\t2\t5\n")
+    put(root / "desc_codes.txt", "x\n1\n")
+    return str(root)
+
+
+def test_published_only_past_the_gates(spark, tmp_path):
+    root, out = _small_roll(tmp_path / "roll"), str(tmp_path / "out")
+    with pytest.raises(TooManyInvalidRows):
+        P.publish_roll_a(spark, root, out, max_invalid=1)
+    assert not T.exists(spark, out)
+    P.publish_roll_a(spark, root, out, max_invalid=2)
+    assert spark.read.parquet(f"{out}/building").count() == 1 and spark.read.parquet(f"{out}/property").count() == 1
+
+
+def test_jurisdictions_published_past_the_proof(spark, tmp_path):
+    values = [("1", "040", "1,000", "800", 1), ("2", "040", "500", "500", 2)]
+    table = lambda rows: spark.createDataFrame(rows, "acct string, tax_district string, appraised_val string, taxable_val string, pos int")
+    exempt = spark.createDataFrame([("1", "040", "RES", "200", 1), ("1", "040", "NONE", "9", 2), ("1", "040", "OVR", "0", 3)], "acct string, tax_district string, exempt_cat string, exempt_val string, pos int")
+    rates = spark.createDataFrame([("Real", "040", "County\x07", "0.5", 1)], "RP_TYPE string, tax_dist string, name string, published string, pos int")
+    out = str(tmp_path / "jur")
+    done = P.publish_jurisdictions_a(table(values), exempt, None, rates, None, 2025, out, "s")
+    stored = {(r["account_number"], r["exemption_code"]): r for r in spark.read.parquet(f"{out}/jurisdiction").collect()}
+    assert set(stored) == {("1", ""), ("1", "RES"), ("2", "")} and stored["1", "RES"]["exemption_amount"] == D("200.00")
+    assert stored["1", ""]["tax_unit_name"] == "County" and done["gaps"].first()["pairs"] == 2
+    assert spark.read.parquet(f"{out}/unit_rate").count() == 1
+    # A net above the gross cannot be reproduced: nothing of the new year is stored.
+    with pytest.raises(J.ProofFailed):
+        P.publish_jurisdictions_a(table([("1", "040", "800", "1000", 1)]), exempt, None, rates, None, 2026, out, "s")
+    assert spark.read.parquet(f"{out}/jurisdiction").where("tax_year = 2026").count() == 0
+
+
 def test_missing_files_are_named(spark, tmp_path):
     put(tmp_path / "r" / "real_acct.txt", ACCOUNT_HEAD)
     with pytest.raises(FileNotFoundError, match="building_res.txt, fixtures.txt, extra_features"):

@@ -116,3 +116,18 @@ def test_checks_and_reconciliation(spark):
 def test_tolerance(spark, missing, level):
     row = spark.range(1).select(Q.grade_missing(F.lit(missing), F.lit(100), 1.0).alias("g")).first()
     assert row["g"] == level
+
+
+def test_pages_by_key_equal_pages_by_number(spark):
+    rows = [(f"k{i:02d}", [None, "a", "b"][i % 3], i % 4 or None) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, name string, n int")
+    order = ["name", "n", "key"]
+    last, seen = None, []
+    while True:
+        page = S.page_after(df, order, last, rows=7).collect()
+        if not page:
+            break
+        seen += [r["key"] for r in page]
+        last = page[-1].asDict()
+    whole = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).collect()
+    assert seen == [r["key"] for r in whole]
