@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.operators.keyed import first_rows
+
 
 def _known(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", c)
@@ -55,22 +58,18 @@ def feature_profile(
 ) -> DataFrame:
     """One row per key: ``feature_codes`` (sorted set) and ``features_<limit>`` display texts.
 
-    Counting by (key, label, code) first makes the collected lists as long as the number of distinct
-    labels of a key, however many feature rows it has, and that count combines map-side.
+    Labels are counted by key, which combines map-side, and cut to the longest text's number of labels
+    before any is collected, so no list grows with the features of a property.
     """
-    by_label = (
-        features.select(*keys, label.alias("label"), _known(F.col(code)).alias("code"))
-        .groupBy(*keys, "label", "code")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*keys, "label")
-        .agg(F.sum("n").alias("n"), F.collect_set("code").alias("codes"))
-        .groupBy(*keys)
-        .agg(
-            F.collect_list(F.struct("label", "n")).alias("entries"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("feature_codes"),
-        )
+    known = features.select(*keys, label.alias("label"), _known(F.col(code)).alias("code"))
+    counted = known.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    shown = first_rows(counted, keys, ["label"], max(limits)).groupBy(*keys).agg(
+        F.collect_list(F.struct("label", "n")).alias("entries")
     )
-    return by_label.select(
+    codes = known.groupBy(*keys).agg(F.array_sort(F.collect_set("code")).alias("feature_codes"))
+    same = [codes[k].eqNullSafe(shown[k]) for k in keys]
+    joined = codes.join(shown, functools.reduce(lambda a, b: a & b, same)).select(*[codes[k] for k in keys], "feature_codes", "entries")
+    return joined.select(
         *keys, "feature_codes", *[_listing(F.col("entries"), k, mark).alias(f"features_{k}") for k in limits]
     )
 
