@@ -42,15 +42,15 @@ BLOCK = 512
 #: How often the exact bound is drawn again among the rows it left.
 BOUNDINGS = 2
 #: Bytes of text worked on in one go.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of at most ``CHUNK`` bytes and 1024 texts (a longer text alone), with the number of the first."""
+    """Runs of at most ``CHUNK`` bytes and ``BLOCK`` texts (a longer text alone), with the number of the first."""
     at, held, size = 0, [], 0
     for i, value in enumerate(texts):
         text = (value.as_py() or "").encode()
-        if held and (size + len(text) > CHUNK or len(held) == 1024):
+        if held and (size + len(text) > CHUNK or len(held) == BLOCK):
             yield at, held
             at, held, size = i, [], 0
         held.append(text)
