@@ -121,14 +121,20 @@ def scan(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id"
     )
     every = longs(sorted({v for k in known for v in k["big"]}))
     least = min(k["low"] for k in known)
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    def fitting(held: Column) -> Column:
+        enough = F.filter(table, lambda k: F.size(F.array_intersect(held, k["big"])) >= k["low"])
+        return F.when(F.size(held) >= least, enough)
+
+    # In one projection with the row number, which no filter is pushed below: the text is read once.
     rows = docs.select(
-        F.monotonically_increasing_id().alias("r"), F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    held = rows.select("*", F.array_intersect(bigrams(plain_words(F.col("text"))), every).alias("held"))
-    fits = F.when(
-        F.size("held") >= least, F.filter(table, lambda k: F.size(F.array_intersect("held", k["big"])) >= k["low"])
+        F.monotonically_increasing_id().alias("r"),
+        F.col(doc_id).alias("doc"),
+        body.alias("text"),
+        bind(F.array_intersect(bigrams(plain_words(body)), every), fitting).alias("fits"),
     )
-    found = held.select("r", "doc", "text", fits.alias("fits")).where(F.size("fits") > 0)
+    found = rows.where(F.size("fits") > 0)
 
     # Lines with words, their numbers, and how many words lie before each.
     lines = F.filter(

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import blank_words, near, plain_words, stage
+from parcelwise.llm.common import bind, blank_words, near, plain_words, stage
 
 LEAST = 16
 MIN_DOCS = 5
@@ -46,15 +46,23 @@ FEATURES = (
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``(doc, path, at, name, value, quoted, before, earlier, after)``; ``at`` is the number of the word."""
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    words = docs.select(F.col(doc_id).alias("doc"), F.coalesce(where, F.lit("")).alias("path"), blank_words(F.col(text)).alias("w"))
-    long = F.filter(
-        F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= LEAST) & F.get("w", i).rlike("[0-9]")
+
+    def long(w: Column) -> Column:
+        places = F.transform(w, lambda x, i: F.when((F.length(x) >= LEAST) & x.rlike("[0-9]"), i))
+        return F.struct(w.alias("w"), F.array_compact(places).alias("places"))
+
+    # With the row number in the projection no filter is pushed below it, and the words are cut once.
+    words = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(doc_id).alias("doc"),
+        F.coalesce(where, F.lit("")).alias("path"),
+        bind(blank_words(F.col(text)), long).alias("found"),
     )
-    found = words.where(F.size("w") > 0).select("doc", "path", "w", F.explode(long).alias("at"))
-    near = lambda n: F.coalesce(F.get("w", F.col("at") + n), F.lit(""))
-    rows = found.select("doc", "path", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("earlier"), near(1).alias("after"))
+    found = words.where(F.size("found.places") > 0).select("row", "doc", "path", F.col("found.w").alias("w"), F.explode("found.places").alias("at"))
+    beside = lambda n: F.coalesce(F.get("w", F.col("at") + n), F.lit(""))
+    rows = found.select("row", "doc", "path", "at", beside(0).alias("word"), beside(-1).alias("before"), beside(-2).alias("earlier"), beside(1).alias("after"))
     named = rows.select(
-        "doc", "path", "at", F.regexp_extract("word", _HOLDER, 1).alias("name"), F.regexp_extract("word", _HOLDER, 2).alias("value"),
+        "row", "doc", "path", "at", F.regexp_extract("word", _HOLDER, 1).alias("name"), F.regexp_extract("word", _HOLDER, 2).alias("value"),
         F.col("word").rlike("[\"']").alias("quoted"), "before", "earlier", "after",
     )
     return named.where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]"))
