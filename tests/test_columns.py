@@ -108,7 +108,7 @@ def test_projection_inverts_a_known_point(spark):
     """The false origin of the planar system is its latitude and longitude of origin."""
     m = 1200.0 / 3937.0
     row = spark.sql(f"select {700000.0 / m}D x, {3000000.0 / m}D y").select(
-        G.lambert_to_wgs84(F.col("x"), F.col("y"), c).alias("g")
+        G.lambert_to_wgs84(F.col("x"), F.col("y"), G.TEXAS_CENTRAL).alias("g")
     ).first()["g"]
     assert row["lat"] == pytest.approx(29.0 + 40 / 60, abs=1e-9)
     assert row["lon"] == pytest.approx(-(100 + 20 / 60), abs=1e-9)
