@@ -305,6 +305,29 @@ def test_html_structure():
     assert htmltext.read_lines("<p>" * 50_000 + "deep")[0] == ["deep"]
 
 
+def test_html_articles_that_mark_nothing():
+    body = "<div class=post><p>One.</p><p>Two.</p></div>"
+    for more in (
+        "<aside><article>teaser</article></aside>", "<div id=comments><article>said</article></div>", "<script>x='<article>'</script>",
+        "<!-- <main> -->", "<article></article>", "<ol><li class='comment even'><article class=comment-body>said</article></ol>",
+    ):
+        assert htmltext.read_lines(body + more) == (["One.", "Two."], False), more
+        assert htmltext.read_lines(more + body) == (["One.", "Two."], False), more
+    assert htmltext.read_lines("before<span role=main>in</span>after") == (["in"], True)
+
+
+def test_html_whole_class_names():
+    for name in ("elementor-widget-text-editor", "widget Blog", "content no-sidebar", "has-share", "article-header"):
+        div = f'<div class="{name}"><h1>Head</h1><p>Text</p></div>'
+        assert htmltext.read_lines(f"<article>{div}</article>") == (["Head", "Text"], True), name
+        assert htmltext.read_lines(div) == (["Head", "Text"], False), name
+        assert htmltext.read_lines(f'<div class="{name}"><main>x</main></div>') == (["x"], True), name
+    page = "<div class=site-header>no</div><div class='a cookie-notice'>no</div>{}<p>yes</p><div class='share x'>no</div>{}"
+    assert htmltext.read_lines(page.format("", "")) == (["yes"], False)
+    assert htmltext.read_lines(page.format("<article>", "</article>")) == (["yes"], True)
+    assert htmltext.read_lines("<article><pre><span class='token comment'># yes</span></pre></article>") == (["# yes"], True)
+
+
 def test_html_differencing(spark):
     page = lambda body: f"<html><body><div>Shop of all</div>{body}<div>All rights</div></body></html>"
     rows = [
