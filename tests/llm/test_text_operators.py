@@ -344,6 +344,30 @@ def test_html_differencing(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_html_near_copies_and_shared_passages(spark):
+    page = lambda *body: "<div>Menu</div>" + "".join(f"<p>{x}</p>" for x in body) + "<div>All rights</div>"
+    text = lambda n: [f"Text {n} paragraph {i} with words of its own" for i in range(6)]
+    bodies = {
+        "/a/1": text(1), "/a/1-print": [*text(1)[:5], "Another end"], "/a/1-x": ["Another start", *text(1)[1:]],
+        "/a/2": [*text(2), "A passage of two"], "/a/3": ["A passage of two", *text(3)], "/a/4": text(4), "/a/5": text(5),
+    }
+    rows = [(f"http://h.net{k}", page(*v)) for k, v in bodies.items()] + [(f"http://two.net{k}", page(*bodies[k])) for k in ("/a/1", "/a/1-x")]
+    got = {r["page"]["url"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert {k: got[f"http://h.net{k}"].split("\n") for k in bodies} == bodies
+    assert all("\n".join(bodies[k]) in got[f"http://two.net{k}"] for k in ("/a/1", "/a/1-x"))
+
+
+def test_html_template_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "RUN", 7)
+    monkeypatch.setattr(htmltext, "REACH", 3)
+    rows = spark.range(300).select(
+        F.format_string("http://h%d.net/%03d", F.col("id") % 2, F.col("id")).alias("url"),
+        F.format_string("<p>top</p><p>own %d</p><p>end</p>", "id").alias("html"), "id",
+    )
+    got = {r["page"]["id"]: r["text"] for r in htmltext.extract(rows.repartition(5)).collect()}
+    assert got == {i: f"own {i}" for i in range(300)}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
