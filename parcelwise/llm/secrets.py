@@ -1,7 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-1. ``candidates`` finds every blank-delimited word that holds a value of at least 16 characters with a digit, taken
-   out of quotes and of ``name=`` or ``name:`` before it, with the words around it.
+1. ``candidates`` takes every assigned or quoted value, URL parameter, password of a URL and bare piece of every
+   blank-delimited word as a value of its own, with its name and the words around it. Values have at least 16
+   characters and a digit; where a credential's name is assigned before it, any value with a letter or digit counts.
 2. ``features`` measures length, character transitions, dictionary coverage, path and neighbouring words.
    The dictionary are the words the corpus itself uses: a letter run of a candidate is covered if at least
    ``MIN_DOCS`` documents hold it as a word of their own, counted over all documents.
@@ -14,7 +15,9 @@ every candidate). Weak labels and features share evidence, the neighbouring word
 assignment, which the forest does not see. Findings labelled by people are the better input.
 
 DataFrame functions and Spark's own forest only. Defined results: null and empty texts have no candidates;
-each occurrence is a finding of its own, repeated rows included; words are never cut. If the findings do
+each occurrence is a finding of its own, repeated rows included. Bare values end at ``,;|``, brackets and quotes and before
+a URL parameter; those of a credential's name end only at quotes and before the next assignment. A quoted value
+with blanks is seen word by word. If the findings do
 not show both labels, no forest can be fitted: the probability is null and the label decides.
 """
 
@@ -35,7 +38,26 @@ TREES, DEPTH = 40, 8
 
 # What credentials are called.
 _CALLED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
-_HOLDER = r"^(?:([^=:\"']{0,64})[=:])?[\"'(\[<{]*(.*?)[\"')\]>},.;:!?#*$%&]*$"
+#: The same where it waives the least size: an author is no credential.
+_CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!or)|credential|bearer)"
+_ENDS = r"[=:]>?[\"']?$"
+_SIGN = r"(?::=|=>|={1,3}|:)"
+_WORD = r"[A-Za-z_][\w.\-]{0,63}"
+_NAME = rf"(?:\"{_WORD}\"|'{_WORD}'|{_WORD})" + _SIGN
+_NEXT = r"(?!" + _NAME + r"[^=])"
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+# Groups that repeat are bounded, as Java's patterns recurse there; what lies beyond begins the next piece.
+_PIECE = (
+    r"(?i)(?:" + _NAME + r"){0,8}?[\"']?[\w.\-]{0,40}(?:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!or)|credential|bearer)[\w.\-]{0,40}[\"']?"
+    + _SIGN + r"(?!" + _NAME + r"[^=])(?:" + _QUOTED + r"|[^\"'=\[{(<][^\"',;&?|]*(?:[,;&?|]" + _NEXT + r"[^\"',;&?|]*){0,64})"
+    r"|(?:" + _NAME + r"(?=[^=])){0,8}(?:" + _QUOTED + r"|[^\"',;&?|{}()<>\[\]]+(?:[&?]" + _NEXT + r"[^\"',;&?|{}()<>\[\]]*){0,64})"
+)
+#: Name and value of a piece.
+_HOLDER = (
+    r"(?s)^(?:" + _NAME + r"(?=[^=])){0,8}?(?:[\"']?(" + _WORD + r")[\"']?" + _SIGN + r"(?=[^=]))?"
+    r"(?:\"([^\"]*)\"|'([^']*)'|" + _NEXT + r"(.*?)[\"')\]>},.;:!?#*$%&]*)$"
+)
+_IN_URL = r"://[^/@:\s]*:([^/@\s]+)@"
 
 FEATURES = (
     "size", "digits", "uppers", "hex", "marks", "transitions", "distinct", "coverage", "called_before", "called_inside",
@@ -44,11 +66,17 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``(doc, path, at, name, value, quoted, before, earlier, after)``; ``at`` is the number of the word."""
+    """``(row, doc, path, at, nth, name, value, quoted, before, earlier, after)``: value ``nth`` of word ``at``."""
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
+    shaped = lambda x: (F.length(x) >= LEAST) & x.rlike("[0-9]")
 
     def long(w: Column) -> Column:
-        places = F.transform(w, lambda x, i: F.when((F.length(x) >= LEAST) & x.rlike("[0-9]"), i))
+        word = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+
+        def wanted(x: Column, i: Column) -> Column:
+            return shaped(x) | x.rlike(_CREDENTIAL) | x.rlike(_IN_URL) | _assigned_before(word(i - 1), word(i - 2))
+
+        places = F.transform(w, lambda x, i: F.when(wanted(x, i), i))
         return F.struct(w.alias("w"), F.array_compact(places).alias("places"))
 
     # With the row number in the projection no filter is pushed below it, and the words are cut once.
@@ -61,11 +89,25 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     found = words.where(F.size("found.places") > 0).select("row", "doc", "path", F.col("found.w").alias("w"), F.explode("found.places").alias("at"))
     beside = lambda n: F.coalesce(F.get("w", F.col("at") + n), F.lit(""))
     rows = found.select("row", "doc", "path", "at", beside(0).alias("word"), beside(-1).alias("before"), beside(-2).alias("earlier"), beside(1).alias("after"))
-    named = rows.select(
-        "row", "doc", "path", "at", F.regexp_extract("word", _HOLDER, 1).alias("name"), F.regexp_extract("word", _HOLDER, 2).alias("value"),
-        F.col("word").rlike("[\"']").alias("quoted"), "before", "earlier", "after",
-    )
-    return named.where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]"))
+
+    def held(x: Column) -> Column:
+        part = lambda n: F.regexp_extract(x, _HOLDER, n)
+        return F.struct(part(1).alias("name"), F.concat(part(2), part(3), part(4)).alias("value"), x.rlike("[\"']").alias("quoted"))
+
+    pieces = F.transform(F.regexp_extract_all("word", F.lit(_PIECE), 0), held)
+    logins = F.transform(
+        F.regexp_extract_all("word", F.lit(_IN_URL), 1), lambda x: F.struct(F.lit("password").alias("name"), x.alias("value"), F.lit(False).alias("quoted"))
+    )
+    each = rows.select("row", "doc", "path", "at", F.posexplode(F.concat(pieces, logins)).alias("nth", "p"), "before", "earlier", "after")
+    named = each.select("row", "doc", "path", "at", "nth", "p.name", "p.value", "p.quoted", "before", "earlier", "after")
+    first = (F.col("nth") == 0) & (F.length("name") == 0) & _assigned_before(F.col("before"), F.col("earlier"))
+    waived = F.col("value").rlike("[A-Za-z0-9]") & (F.col("name").rlike(_CREDENTIAL) | first)
+    return named.where(shaped(F.col("value")) | waived)
+
+
+def _assigned_before(before: Column, earlier: Column) -> Column:
+    """Whether a credential's name and a sign of assignment stand before a word."""
+    return before.rlike(_CREDENTIAL) & before.rlike(_ENDS) | before.isin("=", ":", ":=", "=>") & earlier.rlike(_CREDENTIAL)
 
 
 def dictionary(docs: DataFrame, parts: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -124,7 +166,8 @@ def weak_findings(measured: DataFrame) -> DataFrame:
     """``label`` 1.0, 0.0 or null: what a strict rule can decide."""
     called = (F.col("called_before") + F.col("called_inside")) > 0
     plain = (F.col("digits") == 1.0) | F.col("value").rlike(r"@[A-Za-z0-9-]+\.|://|^www\.") | (F.col("coverage") > 0.8)
-    label = F.when(plain, 0.0).when(called & (F.col("assigned") == 1.0) & (F.col("marks") < 0.3), 1.0)
+    firm = (F.col("size") >= LEAST) & (F.col("digits") > 0)
+    label = F.when(plain, 0.0).when(firm & called & (F.col("assigned") == 1.0) & (F.col("marks") < 0.3), 1.0)
     return measured.withColumn("label", label)
 
 
@@ -142,7 +185,7 @@ def fit(labelled: DataFrame, bound: int = TRAINED, seed: int = 7) -> RandomFores
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, findings: DataFrame | None = None) -> DataFrame:
-    """``(doc, at, value, label, probability, secret)`` of every candidate.
+    """``(doc, at, nth, value, label, probability, secret)`` of every candidate.
 
     ``findings`` may bring labels as ``(value, label)``; candidates are labelled by their value then.
     """
@@ -159,4 +202,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     else:
         scored = model.transform(_vectors(labelled)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
     secret = F.coalesce(F.col("probability") >= 0.5, F.col("label") == 1.0, F.lit(False))
-    return scored.select("doc", "at", "value", "label", "probability", secret.alias("secret"))
+    return scored.select("doc", "at", "nth", "value", "label", "probability", secret.alias("secret"))

@@ -422,6 +422,32 @@ def test_secrets_on_held_out_findings(spark, none, odd):
     assert [r["value"] for r in secrets.scan(odd).where("secret").collect()] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
 
 
+def test_secret_candidates_inside_words(spark):
+    key, other = "9233b1c04e7f4d21a8", "77aa01c04e7f4d21b9"
+    cases = {
+        f'{{"user":"bob","token":"{key}","n":1}}': [("token", key)],
+        f"https://host/v1?access_token={key}&n=1": [("access_token", key)],
+        f"a={key},b={other}": [("a", key), ("b", other)],
+        f"[{key},'{other}']": [("", key), ("", other)],
+        "password=hunter": [("password", "hunter")],
+        "password = hunter and more": [("", "hunter")],
+        'the "pwd": "allletters", and': [("", "allletters")],
+        "https://bob:open@host/": [("password", "open")],
+        f"(token:{key}==).": [("token", f"{key}==")],
+        "password=a,b?c;d": [("password", "a,b?c;d")],
+        f"{key}==": [("", f"{key}==")],
+        "author: Smith wrote hunter": [],
+        f"x=\"{key},{other}\"": [("x", f"{key},{other}")],
+        "?,&" * 30_000 + f";token={key}": [("token", key)],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in secrets.candidates(docs).orderBy("doc", "at", "nth").collect():
+        got[r["doc"]].append((r["name"], r["value"]))
+    for i, (text, want) in enumerate(cases.items()):
+        assert got[i] == want, text[:80]
+
+
 CHATS = [
     (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<s>\\ </s> <\\s> [\\\\INST] $1"), (1, 2, "assistant", None), (2, 0, None, ""),
     (2, 0, None, ""), (None, 1, "assistant", "x\ny"), (3, None, "[/INST]", "é" * 10), (3, 5, "assistant", "<</s>>"),
