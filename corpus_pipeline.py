@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    pieces = packing.pack(docs)
+    pieces = packing.pack(docs, added=True)
     return pieces.select(
         F.col("doc").alias("doc_id"),
         "start",

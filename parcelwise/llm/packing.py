@@ -9,13 +9,16 @@ crosses a cut gives one record per sequence, so only the last sequence can need
 Tokenizing needs Python; it runs in Arrow batches inside the partitions. Cutting is plain columns.
 
 Defined results: a null or empty text is one end token. Repeated rows are packed each for itself. Texts
-are read whole, whatever their length; control strings inside them are ordinary text. Other columns are
+are read whole, whatever their length; control strings inside them are ordinary text, but with ``added`` the
+vocabulary's added tokens are one id each. Other columns are
 not carried along. An empty table packs to no sequence.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +34,31 @@ END = 1
 
 
 class Encoder:
-    """Ids of whole texts under a byte-level vocabulary; control strings in them are ordinary text.
+    """Ids of whole texts under a byte-level vocabulary.
+
+    With ``added``, the added tokens of the vocabulary's JSON file, which lies beside the ranks, are one id each
+    where a text holds them, as the ``tokenizers`` library has it by default; else they are ordinary text.
 
     The vocabulary is given as ranks. Its ids are those of the same vocabulary's JSON form, which a test
     holds against the ``tokenizers`` library; encoding by ranks takes a third of that library's time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+        special = {}
+        if added:
+            with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as whole:
+                special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
         self.encoding = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def default_tokenizer() -> str:
@@ -57,7 +67,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END, added: bool = False) -> DataFrame:
     """``(part, at, doc, n, ids)``: ids of each document with the end token, little-endian 32 bits.
 
     ``at`` is the offset inside the input partition ``part``.
@@ -65,7 +75,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokeni
     path = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = Encoder(path), 0
+        encoder, at = Encoder(path, added), 0
         for batch in batches:
             # Small slices keep the ids of long texts from piling up.
             for k in range(0, batch.num_rows, 256):
@@ -93,12 +103,12 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokeni
     return rows.mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END, added: bool = False) -> DataFrame:
     """Pieces ``(doc, n, ids, start, size, sequence_id, offset)``; ``ids`` holds the ids of the piece.
 
     ``start`` is the place of the piece in its document, ``offset`` its place in the sequence.
     """
-    tokens = stage(tokenize(docs, doc_id, text, tokenizer, end))
+    tokens = stage(tokenize(docs, doc_id, text, tokenizer, end, added))
     # One row per partition: the second pass over offsets is as short as the list of partitions.
     totals = tokens.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     base = totals.select(

@@ -140,7 +140,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document lies in the packed sequences."""
-    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), added=True)
     return pieces.select(
         F.col("doc").alias("doc_id"),
         "start",

@@ -263,6 +263,21 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from parcelwise.llm import queries
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n", "<|endoftext", "plain <|im_end|> words", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in queries.op8_packing(spark, str(tmp_path)).collect()}
+    want = [np.array(known.encode(t, add_special_tokens=False).ids + [1], dtype="<u4") for t in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+    assert list(want[0]) == [64, 50256, 65, 1]
+
+
 URLS = [
     "http://a.example.net/en/1?x#y", "HTTPS://EXAMPLE.NET/en/", "http://example.net/en", "http://net", "http://net/", "http://b.net/q",
     "ftp://x.org/fr/2", "http://x.org/de/2", "http://example.com/de/#/", "http://a.b.example.com/de/x", "http://notexample.com/de/x",
