@@ -24,13 +24,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for intermediate data, reachable from every executor.
 
-    A local session that names none gets a folder of its own; a cluster has to name one.
+    A cluster has to name one. A local session that names none is given a checkpoint folder of its own, which its context
+    remembers; no setting is changed.
     """
     context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder and context.master.startswith("local["):
-        folder = tempfile.mkdtemp(prefix="parcelwise-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="parcelwise-"))
+        folder = context.getCheckpointDir()
     if not folder:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     return folder.rstrip("/")
