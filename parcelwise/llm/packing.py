@@ -49,16 +49,28 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-        special = {}
+        special, self.json, self.added, self.whole = {}, os.path.splitext(path)[0] + ".json", added, None
         if added:
-            with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as whole:
+            with open(self.json, encoding="utf-8") as whole:
                 special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
         self.encoding = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            # Runs of about a million blanks are beyond the pattern's stack; the slower library reads them.
+            return self._encode_whole(text)
+
+    def _encode_whole(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            import tokenizers
+
+            self.whole = tokenizers.Tokenizer.from_file(self.json)
+            self.whole.encode_special_tokens = not self.added
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def default_tokenizer() -> str:

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelwise.llm import chat, decontam, htmltext, licenses, linededup, neardup, packing, quality, secrets, urlrules
+from parcelwise.llm import (
+    alignment,
+    chat,
+    decontam,
+    hardneg,
+    htmltext,
+    licenses,
+    linededup,
+    neardup,
+    packing,
+    quality,
+    qualityqda,
+    secrets,
+    urlrules,
+)
 from parcelwise.llm.common import table
 
 QUERIES: dict = {}
@@ -300,3 +314,57 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("probability", 6).alias("probability"),
         "secret",
     )
+
+
+@query("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from four fifths of the labels."""
+    fold = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit(""))) % 5
+    rows = qualityqda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0)
+    return rows.select(
+        F.col("doc").alias("doc_id"),
+        (~F.col("teaches")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH e AS (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT a.r AS ar, a.vec_id AS anchor_id, e.r, e.vec_id, e.label = a.label AS same,
+             CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+      FROM e AS a JOIN e ON a.r <> e.r WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS k FROM s WHERE same QUALIFY k <= 5),
+    n AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS place
+      FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+      QUALIFY place <= 10)
+    SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM n
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth vector."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.usable(table(spark, sf_dir, "embeddings"), label=moved)
+    return hardneg.mine(rows, F.col("id") % 100 == 0)
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers in every document, and how common their links are."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    listed = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    text = F.array_join(F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"]))), ";")
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(text, 256)).alias("groups_sha256")
+    rows = aligned.select(F.col("doc").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", digest, "pairs")
+    return alignment.count_links(rows)
