@@ -125,14 +125,16 @@ def _fill(index: Index, anchors: np.ndarray, windows: dict[str, np.ndarray], row
         todo = np.arange(first, min(first + ABREAST, len(anchors)))
         todo, fall = todo[top[todo] >= bottom[todo]], FALL
         while len(todo):
-            least = np.ceil(np.maximum(top[todo] - fall * (top[todo] - bottom[todo]), bottom[todo]))
+            # The last round is at the bottom itself, below which no window has a row.
+            final = fall >= 1.0
+            least = bottom[todo] if final else np.maximum(top[todo] - fall * (top[todo] - bottom[todo]), bottom[todo])
             for a, t, (at, scores) in zip(todo, least, index.above(anchors[todo], least)):
                 left = []
                 for w in open_windows[a]:
                     fit = (scores >= low[w]) & (scores <= high[w]) & (rows["r"][at] != windows["r"][w])
                     fit &= (rows["label"][at] == windows["label"][w]) == windows["same"][w]
                     chosen = np.flatnonzero(fit)
-                    if len(chosen) < k and reach[w] < t:
+                    if len(chosen) < k and reach[w] < t and not final:
                         left.append(w)
                         continue
                     best = chosen[np.lexsort((rows["r"][at[chosen]], rows["id"][at[chosen]], -scores[chosen]))[:k]]
