@@ -34,13 +34,11 @@ HEAVY = 50_000
 #: Texts of a slice that is aligned at once: rows, and characters unless one text has more.
 SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 
-SCHEMA = (
-    "n_a long, n_b long, n_groups long, n_links long, "
-    "groups array<struct<a: array<int>, b: array<int>, end: long>>, "
-    "overlaps array<struct<a: int, b: int>>, pairs array<struct<a: int, b: int, n: long>>"
-)
-
-NAMES = ["n_a", "n_b", "n_groups", "n_links", "groups", "overlaps", "pairs"]
+SCHEMA = {
+    "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long",
+    "listing": "string", "pairs": "array<struct<a: int, b: int, n: long>>",
+}
+DETAIL = {"groups": "array<struct<a: array<int>, b: array<int>, end: long>>", "overlaps": "array<struct<a: int, b: int>>"}
 
 
 def default_pieces() -> str:
@@ -63,6 +61,9 @@ class ByteTokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [self.encoder.encode(" " + text).astype("int64") for text in texts]
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        return self.encoder.encoding.decode_bytes(ids.tolist())
+
 
 class PieceTokens:
     """A piece vocabulary, which puts the space before a text itself."""
@@ -81,6 +82,9 @@ class PieceTokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, dtype="int64") for ids in self.model.encode(texts, num_threads=1)]
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
 
 def _tokens(texts: list[str | None], a, b) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both sides; none where a text has none or is not spelled by both."""
@@ -92,7 +96,7 @@ def _tokens(texts: list[str | None], a, b) -> tuple[list[np.ndarray], list[np.nd
         return out_a, out_b
     for i, x, y in zip(held, a.encode(given), b.encode(given)):
         whole = b" " + texts[i].encode()
-        if all(b"".join([side.bytes[t] for t in ids.tolist()]) == whole for side, ids in ((a, x), (b, y))):
+        if a.spell(x) == whole and b.spell(y) == whole:
             out_a[i], out_b[i] = x, y
     return out_a, out_b
 
@@ -109,14 +113,33 @@ def _placed(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
 
 
 def overlapping(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of rows ``(a, b)`` whose byte ranges overlap, in order."""
+    """All pairs of rows ``(row_a, row_b)`` whose byte ranges overlap."""
     left, right = a[["start", "doc", "row"]], b[["start", "doc", "row"]]
     forth = pd.merge_asof(left, right, on="start", by="doc", suffixes=("_a", "_b"))
     # Tokens that start together have found each other already.
     back = pd.merge_asof(right, left, on="start", by="doc", suffixes=("_b", "_a"))
     back = back[a["start"].to_numpy()[back["row_a"].to_numpy()] != back["start"].to_numpy()]
-    both = pd.concat([forth[["row_a", "row_b"]], back[["row_a", "row_b"]]])
-    return both.sort_values(["row_a", "row_b"], ignore_index=True)
+    return pd.concat([forth[["row_a", "row_b"]], back[["row_a", "row_b"]]], ignore_index=True)
+
+
+def _named(size: int) -> np.ndarray:
+    """Every id as text, each with the three marks that can follow it."""
+    return np.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], dtype=object)
+
+
+def _listings(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray], names, docs: np.ndarray) -> list[str]:
+    """The groups of each document as ``a1,a2|b1;a3|b2,b3``; ``docs`` counts the tokens of both sides in each."""
+    out = np.empty(len(ids[0]) + len(ids[1]), dtype=object)
+    ends = np.cumsum(counts[0] + counts[1])
+    before = ends - counts[0] - counts[1]
+    for side, first in ((0, before), (1, before + counts[0])):
+        g, n = groups[side], counts[side]
+        within = np.arange(len(g)) - (np.cumsum(n) - n)[g]
+        last = within == n[g] - 1
+        size = len(names[side]) // 3
+        out[first[g] + within] = names[side][ids[side] + np.where(last, size * (1 + side), 0)]
+    flat, stops = out.tolist(), np.cumsum(docs)
+    return ["".join(flat[a:b])[:-1] for a, b in zip(stops - docs, stops)]
 
 
 def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
@@ -144,45 +167,39 @@ def _pairs(doc_of: np.ndarray, ga: np.ndarray, a: np.ndarray, gb: np.ndarray, b:
     return rest // sizes[0], rest % sizes[0], y, n
 
 
-def align_texts(texts: list[str | None], a, b) -> list[pa.Array]:
-    """The columns of ``SCHEMA`` for a slice of texts."""
+def align_texts(texts: list[str | None], a, b, names, detail: bool = False) -> list[pa.Array]:
+    """The columns of ``SCHEMA``, and of ``DETAIL`` if asked for, for a slice of texts."""
     ids_a, ids_b = _tokens(texts, a, b)
     ta, tb = _placed(ids_a, a.sizes), _placed(ids_b, b.sizes)
     both = overlapping(ta, tb)
     ra, rb = both["row_a"].to_numpy(), both["row_b"].to_numpy()
-    cut = ta["end"].to_numpy()[ra] == tb["end"].to_numpy()[rb]
+    ends_a, ends_b = ta["end"].to_numpy(), tb["end"].to_numpy()
+    flat_a, flat_b = ta["id"].to_numpy(), tb["id"].to_numpy()
+    cut = ends_a[ra] == ends_b[rb]
     flag_a, flag_b = np.zeros(len(ta), dtype="int64"), np.zeros(len(tb), dtype="int64")
     flag_a[ra[cut]], flag_b[rb[cut]] = 1, 1
     ga, gb = np.cumsum(flag_a) - flag_a, np.cumsum(flag_b) - flag_b
     last = np.flatnonzero(flag_a)
     doc_of = ta["doc"].to_numpy()[last]
-    base = np.concatenate([[0], np.cumsum([int(a.sizes[x].sum()) for x in ids_a])])[:-1]
     n_docs, n_groups = len(texts), len(last)
     na, nb = np.bincount(ga, minlength=n_groups), np.bincount(gb, minlength=n_groups)
+    size_a, size_b = np.array([len(x) for x in ids_a], dtype="int64"), np.array([len(x) for x in ids_b], dtype="int64")
     per_doc = np.bincount(doc_of, minlength=n_docs)
     links = np.bincount(doc_of, weights=(na * nb).astype("float64"), minlength=n_docs).astype("int64")
-    groups = pa.StructArray.from_arrays(
-        [
-            _lists(pa.array(ta["id"].to_numpy(), pa.int32()), na),
-            _lists(pa.array(tb["id"].to_numpy(), pa.int32()), nb),
-            pa.array(ta["end"].to_numpy()[last] - base[doc_of]),
-        ],
-        ["a", "b", "end"],
-    )
-    spans = pa.StructArray.from_arrays(
-        [pa.array(ta["at"].to_numpy()[ra], pa.int32()), pa.array(tb["at"].to_numpy()[rb], pa.int32())], ["a", "b"]
-    )
-    doc, x, y, n = _pairs(doc_of, ga, ta["id"].to_numpy(), gb, tb["id"].to_numpy(), (len(a.bytes), len(b.bytes)))
+    listing = _listings((flat_a, flat_b), (ga, gb), (na, nb), names, size_a + size_b)
+    doc, x, y, n = _pairs(doc_of, ga, flat_a, gb, flat_b, (len(a.bytes), len(b.bytes)))
     pairs = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(n)], ["a", "b", "n"])
-    return [
-        pa.array([len(x) for x in ids_a], pa.int64()),
-        pa.array([len(x) for x in ids_b], pa.int64()),
-        pa.array(per_doc),
-        pa.array(links),
-        _lists(groups, per_doc),
-        _lists(spans, np.bincount(ta["doc"].to_numpy()[ra], minlength=n_docs)),
-        _lists(pairs, np.bincount(doc, minlength=n_docs)),
-    ]
+    out = [pa.array(size_a), pa.array(size_b), pa.array(per_doc), pa.array(links), pa.array(listing, pa.string())]
+    out.append(_lists(pairs, np.bincount(doc, minlength=n_docs)))
+    if detail:
+        base = np.concatenate([[0], np.cumsum([int(a.sizes[x].sum()) for x in ids_a])])[:-1]
+        held = [_lists(pa.array(flat_a, pa.int32()), na), _lists(pa.array(flat_b, pa.int32()), nb)]
+        out.append(_lists(pa.StructArray.from_arrays([*held, pa.array(ends_a[last] - base[doc_of])], ["a", "b", "end"]), per_doc))
+        order = np.lexsort((rb, ra))
+        at_a, at_b = ta["at"].to_numpy()[ra[order]], tb["at"].to_numpy()[rb[order]]
+        spans = pa.StructArray.from_arrays([pa.array(at_a, pa.int32()), pa.array(at_b, pa.int32())], ["a", "b"])
+        out.append(_lists(spans, np.bincount(ta["doc"].to_numpy()[ra], minlength=n_docs)))
+    return out
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -198,25 +215,31 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, pieces: str | None = None) -> DataFrame:
-    """``doc`` and the columns of ``SCHEMA``.
+def align(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, pieces: str | None = None, detail: bool = False
+) -> DataFrame:
+    """``doc`` and the columns of ``SCHEMA``, with ``detail`` also those of ``DETAIL``.
 
-    ``groups`` holds the ids of both sides and the byte at which the group ends (the leading space is byte 0),
-    ``overlaps`` the places of overlapping tokens, ``pairs`` the different linked ids with their number of links.
+    ``listing`` has the ids of both sides by group, as ``a1,a2|b1;a3|b2,b3``; ``pairs`` the different linked ids with their
+    number of links; ``groups`` the ids as lists with the byte at which the group ends (the leading space is byte
+    0); ``overlaps`` the places of overlapping tokens.
     """
     paths = ranks or default_tokenizer(), pieces or default_pieces()
+    columns = SCHEMA | DETAIL if detail else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteTokens(paths[0]), PieceTokens(paths[1])
+        names = _named(len(a.bytes)), _named(len(b.bytes))
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for first, stop in _slices(texts):
-                columns = align_texts(texts[first:stop], a, b)
                 ids = batch.column("doc").slice(first, stop - first)
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc", *NAMES])
+                out = align_texts(texts[first:stop], a, b, names, detail)
+                yield pa.RecordBatch.from_arrays([ids, *out], names=["doc", *columns])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(run, f"doc {kind}, {SCHEMA}")
+    fields = ", ".join(f"{name} {what}" for name, what in columns.items())
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(run, f"doc {kind}, {fields}")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
