@@ -9,6 +9,7 @@ from checks.registry import plain, query
 from checks.catalog_years import _PAIRED, _UNITS, _r2
 from checks.scoresql import (
     comps_ctes, curve_sql, difference_sql, half_up, jaccard_sql, percentage_sql, ranked_sql, category_sql, FACTS_A,
+    Points as P,
 )
 from checks.views import duck_view as V
 from checks.views import spark_view as view
@@ -402,13 +403,13 @@ _GAP = "CAST(p_size AS DOUBLE) / 60"
 @query(
     "curve_similarities",
     f"""SELECT p_partkey,
-        {half_up(percentage_sql('p_retailprice', '(p_retailprice * (1 + ' + _GAP + '))', C.LIVING_AREA_CURVE), 6)} AS living_area,
-        {half_up(percentage_sql('p_retailprice', '(p_retailprice * (1 + ' + _GAP + '))', C.LAND_CURVE), 6)} AS land,
-        {half_up(difference_sql('p_size', '(p_size % 7)', C.BEDROOM_CURVE), 6)} AS bedrooms,
-        {half_up(difference_sql('p_size / 10.0', '(p_size % 4)', C.BATHROOM_CURVE), 6)} AS bathrooms,
-        {half_up(difference_sql('p_size', '0', C.AGE_CURVE), 6)} AS age,
-        {half_up(difference_sql('p_size / 25.0', '0', C.STORY_CURVE), 6)} AS stories,
-        {half_up(curve_sql(_GAP, C.DISTANCE_CURVE), 6)} AS distance,
+        {half_up(percentage_sql('p_retailprice', '(p_retailprice * (1 + ' + _GAP + '))', P.LIVING_AREA_CURVE), 6)} AS living_area,
+        {half_up(percentage_sql('p_retailprice', '(p_retailprice * (1 + ' + _GAP + '))', P.LAND_CURVE), 6)} AS land,
+        {half_up(difference_sql('p_size', '(p_size % 7)', P.BEDROOM_CURVE), 6)} AS bedrooms,
+        {half_up(difference_sql('p_size / 10.0', '(p_size % 4)', P.BATHROOM_CURVE), 6)} AS bathrooms,
+        {half_up(difference_sql('p_size', '0', P.AGE_CURVE), 6)} AS age,
+        {half_up(difference_sql('p_size / 25.0', '0', P.STORY_CURVE), 6)} AS stories,
+        {half_up(curve_sql(_GAP, P.DISTANCE_CURVE), 6)} AS distance,
         {ranked_sql("substr('XABCDEF', 1 + p_size % 7, 1)", "substr('FEDCBAZ', 1 + p_size % 5 + p_size % 3, 1)")} ::DOUBLE AS quality,
         {category_sql('p_type', 'p_brand')}::DOUBLE AS category
       FROM part""",

@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from checks.views import duck_view
-from parcelwise.functions import curves as C
+
+
+class Points:
+    """Fixed values, stated here once more, so that a wrong one in the engine shows: curve points (difference, similarity)."""
+
+    LIVING_AREA_CURVE = (
+        (0.0, 1.0), (0.03, 0.96), (0.05, 0.90), (0.10, 0.78), (0.20, 0.55), (0.30, 0.32), (0.40, 0.16), (0.50, 0.06), (0.75, 0.0),
+    )
+    BEDROOM_CURVE = ((0.0, 1.0), (1.0, 0.62), (2.0, 0.22), (3.0, 0.06), (4.0, 0.0))
+    BATHROOM_CURVE = ((0.0, 1.0), (0.5, 0.76), (1.0, 0.40), (1.5, 0.14), (2.5, 0.0))
+    AGE_CURVE = ((0.0, 1.0), (2.0, 0.90), (5.0, 0.76), (10.0, 0.42), (15.0, 0.22), (25.0, 0.08), (40.0, 0.0))
+    STORY_CURVE = ((0.0, 1.0), (0.5, 0.70), (1.0, 0.35), (2.0, 0.0))
+    LAND_CURVE = ((0.0, 1.0), (0.05, 0.90), (0.10, 0.76), (0.20, 0.54), (0.35, 0.28), (0.50, 0.12), (0.80, 0.0))
+    RANK_CURVE = ((0.0, 1.0), (1.0, 0.72), (2.0, 0.42), (3.0, 0.18), (5.0, 0.0))
+    DISTANCE_CURVE = ((0.0, 1.0), (0.1, 0.93), (0.25, 0.78), (0.5, 0.52), (0.75, 0.24), (1.0, 0.05))
+    GRADE_RANK = {"X": 7, "A": 6, "B": 5, "C": 4, "D": 3, "E": 2, "F": 1}
 
 
 def dbl(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
-def curve_sql(x: str, points: C.Curve) -> str:
+def curve_sql(x: str, points: tuple) -> str:
     arms = [f"WHEN {x} IS NULL THEN NULL", f"WHEN {x} <= {dbl(points[0][0])} THEN {dbl(points[0][1])}"]
     for (x0, y0), (x1, y1) in zip(points, points[1:]):
         arms.append(
@@ -28,11 +43,11 @@ def clamp01(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN 0.0 WHEN {x} > 1 THEN 1.0 ELSE {x} END)"
 
 
-def percentage_sql(s: str, c: str, points: C.Curve) -> str:
+def percentage_sql(s: str, c: str, points: tuple) -> str:
     return curve_sql(f"(CASE WHEN {s} > 0 THEN abs({s} - {c}) / {s} END)", points)
 
 
-def difference_sql(s: str, c: str, points: C.Curve) -> str:
+def difference_sql(s: str, c: str, points: tuple) -> str:
     return curve_sql(f"abs(CAST({s} AS DOUBLE) - CAST({c} AS DOUBLE))", points)
 
 
@@ -46,12 +61,12 @@ def category_sql(s: str, c: str) -> str:
 
 
 def _rank(c: str) -> str:
-    arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.GRADE_RANK.items())
+    arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in Points.GRADE_RANK.items())
     return f"(CASE upper(trim({c})) {arms} END)"
 
 
 def ranked_sql(s: str, c: str) -> str:
-    gap = curve_sql(f"CAST(abs({_rank(s)} - {_rank(c)}) AS DOUBLE)", C.RANK_CURVE)
+    gap = curve_sql(f"CAST(abs({_rank(s)} - {_rank(c)}) AS DOUBLE)", Points.RANK_CURVE)
     return f"(CASE WHEN trim({s}) <> '' AND upper(trim({s})) = upper(trim({c})) THEN 1.0 ELSE {gap} END)"
 
 
@@ -123,9 +138,9 @@ def _measures(county: str, max_distance: float) -> dict[str, tuple[str, float, f
     ratio = clamp01(f"(distance / {dbl(max_distance)})")
     character = "coalesce(" + ", ".join(category_sql(f"s.ch{i}", f"c.ch{i}") for i in (1, 2, 3)) + ")"
     out = {
-        "living_area": (percentage_sql("s.heat_area", "c.heat_area", C.LIVING_AREA_CURVE), 24.0, None, True),
-        "bedrooms": (difference_sql("s.bedrooms", "c.bedrooms", C.BEDROOM_CURVE), 14.0, None, True),
-        "bathrooms": (difference_sql("s.bathrooms", "c.bathrooms", C.BATHROOM_CURVE), 12.0, None, True),
+        "living_area": (percentage_sql("s.heat_area", "c.heat_area", Points.LIVING_AREA_CURVE), 24.0, None, True),
+        "bedrooms": (difference_sql("s.bedrooms", "c.bedrooms", Points.BEDROOM_CURVE), 14.0, None, True),
+        "bathrooms": (difference_sql("s.bathrooms", "c.bathrooms", Points.BATHROOM_CURVE), 12.0, None, True),
     }
     if county == "a":
         ranked = ranked_sql("s.quality_code", "c.quality_code")
@@ -133,13 +148,13 @@ def _measures(county: str, max_distance: float) -> dict[str, tuple[str, float, f
         out["quality"] = (ranked, 10.0, None, True)
         out["condition"] = (condition, 6.0, None, True)
     else:
-        out["quality"] = (curve_sql("CAST(abs(s.digit - c.digit) AS DOUBLE)", C.RANK_CURVE), 16.0, None, True)
-    out["age"] = (difference_sql("s.eff", "c.eff", C.AGE_CURVE), 8.0, None, True)
-    out["stories"] = (difference_sql("s.stories", "c.stories", C.STORY_CURVE), 4.0, None, True)
+        out["quality"] = (curve_sql("CAST(abs(s.digit - c.digit) AS DOUBLE)", Points.RANK_CURVE), 16.0, None, True)
+    out["age"] = (difference_sql("s.eff", "c.eff", Points.AGE_CURVE), 8.0, None, True)
+    out["stories"] = (difference_sql("s.stories", "c.stories", Points.STORY_CURVE), 4.0, None, True)
     out["building_character"] = (character, 4.0, None, True)
-    out["land_size"] = (percentage_sql("s.land_size", "c.land_size", C.LAND_CURVE), 10.0, 80.0, False)
+    out["land_size"] = (percentage_sql("s.land_size", "c.land_size", Points.LAND_CURVE), 10.0, 80.0, False)
     out["features"] = (jaccard_sql("s.codes", "c.codes"), 4.0, 10.0, False)
-    out["distance"] = (curve_sql(ratio, C.DISTANCE_CURVE), 4.0, 10.0, False)
+    out["distance"] = (curve_sql(ratio, Points.DISTANCE_CURVE), 4.0, 10.0, False)
     return out
 
 
