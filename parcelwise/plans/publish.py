@@ -1,8 +1,9 @@
 """Whole loads: stage once, pass the gates, publish.
 
 Every staged table is written once to the shared folder; counts, gates and final tables read those
-files. Tables are published only after all gates of a load have passed, so a refused load leaves the
-published tables as they were.
+files. Tables are published only after all gates of a load have passed, and all by one manifest
+(:mod:`parcelwise.sinks.manifest`), so a refused or killed load leaves every published table as it was. Readers use
+``manifest.read``.
 """
 
 from __future__ import annotations
@@ -15,17 +16,15 @@ from parcelwise.operators import jurisdiction as J
 from parcelwise.operators.loading import require_valid
 from parcelwise.plans import roll_a, roll_b
 from parcelwise.session import cut_lineage
-from parcelwise.sinks.tables import replace_slices, replace_table
+from parcelwise.sinks.manifest import commit
 
 COUNTY_YEAR = ("county", "tax_year")
 
 
-def _publish(tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    for name, rows in tables.items():
-        if set(COUNTY_YEAR) <= set(rows.columns):
-            replace_slices(rows, f"{folder}/{name}", COUNTY_YEAR)
-        else:
-            replace_table(rows, f"{folder}/{name}")
+def _publish(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """All tables by one manifest; of year-scoped ones only the slices of the load are replaced."""
+    slices = {name: COUNTY_YEAR for name, rows in tables.items() if set(COUNTY_YEAR) <= set(rows.columns)}
+    commit(spark, folder, tables, slices)
     return dict(tables)
 
 
@@ -34,7 +33,7 @@ def publish_roll_a(spark: SparkSession, root: str, folder: str, max_invalid: int
     held = roll_a.load_roll(spark, root, hold=cut_lineage)
     for name in ("staged_building", "staged_feature"):
         require_valid(held[name], max_invalid)
-    return _publish({name: held[name] for name in ("property", "building", "extra_feature")}, folder)
+    return _publish(spark, {name: held[name] for name in ("property", "building", "extra_feature")}, folder)
 
 
 def publish_jurisdictions_a(
@@ -58,7 +57,7 @@ def publish_jurisdictions_a(
     rows = cut_lineage(J.jurisdiction_rows(base, itemised, collapsed, tax_year, roll_a.COUNTY_A, source))
     J.require_proof(rows, base)
     done = {"unit_rate": J.rate_rows(collapsed, tax_year, roll_a.COUNTY_A, source), "jurisdiction": rows}
-    return _publish(done, folder) | {"gaps": J.itemisation_gaps(base, itemised)}
+    return _publish(rows.sparkSession, done, folder) | {"gaps": J.itemisation_gaps(base, itemised)}
 
 
 def publish_roll_b(spark: SparkSession, root: str, tax_year: int, folder: str, min_share: float) -> dict[str, DataFrame]:
@@ -67,4 +66,4 @@ def publish_roll_b(spark: SparkSession, root: str, tax_year: int, folder: str, m
     history = roll_b.history_of(spark, root, tax_year)
     if history is not None:
         held["assessment_history"] = roll_b.require_sane_order(cut_lineage(history), min_share)
-    return _publish(held, folder)
+    return _publish(spark, held, folder)

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcelwise.operators.keyed import first_per_key, merge_upsert
 from parcelwise.session import cut_lineage
@@ -66,6 +67,9 @@ def insert_ignore(
     fresh = first_per_key(df, keys, order_by)
     if exists(spark, path):
         stored = spark.read.parquet(path)
+        if partition_by and set(partition_by) <= set(keys):
+            # A stored key can only lie in the partition of an equal incoming one.
+            stored = stored.join(F.broadcast(fresh.select(*partition_by).distinct()), list(partition_by), "left_semi")
         fresh = fresh.join(stored.select(*keys).distinct(), list(keys), "left_anti").select(*stored.columns)
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
@@ -90,6 +94,46 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence
         replace_slices(cut_lineage(merge_upsert(stored, df, keys)), path, partition_by)
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> tuple[DataFrame, str]:
+    """``df`` with the hash of its key as a partition column, and that column's name.
+
+    The number of buckets is part of the name, so that a table cannot be written with two numbers.
+    """
+    name = f"_bucket_{buckets}"
+    return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), name
+
+
+def _same_buckets(spark: SparkSession, path: str, name: str) -> None:
+    if exists(spark, path):
+        found = [c for c in spark.read.parquet(path).columns if c.startswith("_bucket_")]
+        if found != [name]:
+            raise ValueError(f"{path} has the buckets {found}, not {name}")
+
+
+def upsert_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """:func:`upsert` into a table without natural partitions: only buckets with an incoming key are read and rewritten.
+
+    A change of few keys touches few of many buckets; choose so many that a bucket is about a file.
+    """
+    rows, name = bucketed(df, keys, buckets)
+    _same_buckets(df.sparkSession, path, name)
+    # One task per bucket, so that a bucket is one file.
+    upsert(rows.repartition(buckets, name), path, [*keys, name], [name])
+
+
+def insert_ignore_buckets(df: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str], buckets: int) -> None:
+    """:func:`insert_ignore` into such a table: of the stored keys only those of touched buckets are read."""
+    rows, name = bucketed(df, keys, buckets)
+    _same_buckets(df.sparkSession, path, name)
+    insert_ignore(rows, path, [*keys, name], order_by, [name])
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """A bucketed table without its bucket column."""
+    stored = spark.read.parquet(path)
+    return stored.drop(*[c for c in stored.columns if c.startswith("_bucket_")])
+
+
 def store(df: DataFrame, path: str, *, dry_run: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write unless it is a dry run; returns the rows either way, so their counts can be reported."""
     if not dry_run:

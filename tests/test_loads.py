@@ -7,6 +7,7 @@ from parcelwise.operators import jurisdiction as J
 from parcelwise.operators.loading import TooManyInvalidRows, outcome_counts, require_valid
 from parcelwise.operators.rooms import fixture_rows, fixtures_pivot
 from parcelwise.plans import publish as P
+from parcelwise.sinks import manifest as M
 from parcelwise.plans import roll_a as A
 from parcelwise.plans import roll_b as B
 from parcelwise.schemas import ACCOUNT, conform
@@ -127,7 +128,7 @@ def test_published_only_past_the_gates(spark, tmp_path):
         P.publish_roll_a(spark, root, out, max_invalid=1)
     assert not T.exists(spark, out)
     P.publish_roll_a(spark, root, out, max_invalid=2)
-    assert spark.read.parquet(f"{out}/building").count() == 1 and spark.read.parquet(f"{out}/property").count() == 1
+    assert M.read(spark, out, "building").count() == 1 and M.read(spark, out, "property").count() == 1
 
 
 def test_jurisdictions_published_past_the_proof(spark, tmp_path):
@@ -137,14 +138,14 @@ def test_jurisdictions_published_past_the_proof(spark, tmp_path):
     rates = spark.createDataFrame([("Real", "040", "County\x07", "0.5", 1)], "RP_TYPE string, tax_dist string, name string, published string, pos int")
     out = str(tmp_path / "jur")
     done = P.publish_jurisdictions_a(table(values), exempt, None, rates, None, 2025, out, "s")
-    stored = {(r["account_number"], r["exemption_code"]): r for r in spark.read.parquet(f"{out}/jurisdiction").collect()}
+    stored = {(r["account_number"], r["exemption_code"]): r for r in M.read(spark, out, "jurisdiction").collect()}
     assert set(stored) == {("1", ""), ("1", "RES"), ("2", "")} and stored["1", "RES"]["exemption_amount"] == D("200.00")
     assert stored["1", ""]["tax_unit_name"] == "County" and done["gaps"].first()["pairs"] == 2
-    assert spark.read.parquet(f"{out}/unit_rate").count() == 1
+    assert M.read(spark, out, "unit_rate").count() == 1
     # A net above the gross cannot be reproduced: nothing of the new year is stored.
     with pytest.raises(J.ProofFailed):
         P.publish_jurisdictions_a(table([("1", "040", "800", "1000", 1)]), exempt, None, rates, None, 2026, out, "s")
-    assert spark.read.parquet(f"{out}/jurisdiction").where("tax_year = 2026").count() == 0
+    assert M.read(spark, out, "jurisdiction").where("tax_year = 2026").count() == 0
 
 
 def test_missing_files_are_named(spark, tmp_path):
