@@ -55,8 +55,10 @@ _PIECE = (
 #: Name and value of a piece.
 _HOLDER = (
     r"(?s)^(?:" + _NAME + r"(?=[^=])){0,8}?(?:[\"']?(" + _WORD + r")[\"']?" + _SIGN + r"(?=[^=]))?"
-    r"(?:\"([^\"]*)\"|'([^']*)'|" + _NEXT + r"(.*?)[\"')\]>},.;:!?#*$%&]*)$"
+    r"(?:\"([^\"]*)\"|'([^']*)'|" + _NEXT + r"(.*))$"
 )
+#: Marks behind a value without quotes; they are trimmed, as a pattern would walk back over each run of them.
+_BEHIND = "\"')]>},.;:!?#*$%&"
 _IN_URL = r"://[^/@:\s]*:([^/@\s]+)@"
 
 FEATURES = (
@@ -92,7 +94,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
     def held(x: Column) -> Column:
         part = lambda n: F.regexp_extract(x, _HOLDER, n)
-        return F.struct(part(1).alias("name"), F.concat(part(2), part(3), part(4)).alias("value"), x.rlike("[\"']").alias("quoted"))
+        return F.struct(part(1).alias("name"), F.concat(part(2), part(3), F.rtrim(part(4), F.lit(_BEHIND))).alias("value"), x.rlike("[\"']").alias("quoted"))
 
     pieces = F.transform(F.regexp_extract_all("word", F.lit(_PIECE), 0), held)
     logins = F.transform(
