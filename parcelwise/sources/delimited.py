@@ -14,7 +14,16 @@ from parcelwise.functions import columns as K
 # Delimiters, in order of preference on a tie, and encodings tried in turn.
 DELIMITERS = ("\t", "|", ",")
 ENCODINGS = ("utf-8", "latin-1", "cp1252")
-SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+#: Spark does not read cp1252; such files are read as latin-1 and then translated (:func:`from_latin`).
+SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
+#: The bytes for which cp1252 has other characters than latin-1, as either reads them; five of them it does not have.
+_HIGH = bytes(range(0x80, 0xA0))
+_AS_LATIN, _AS_CP1252 = _HIGH.decode("latin-1"), _HIGH.decode("cp1252", "replace")
+
+
+def from_latin(text: Column) -> Column:
+    """A text of a cp1252 file that was read as latin-1."""
+    return F.translate(text, _AS_LATIN, _AS_CP1252)
 
 
 def position() -> Column:
@@ -67,7 +76,7 @@ def read_delimited(
 def _read_one(spark: SparkSession, path: str, delimiter: str | None, encoding: str | None) -> DataFrame:
     delimiter = delimiter or sniff_delimiter(spark, path)
     encoding = encoding or sniff_encoding(spark, path)
-    return (
+    rows = (
         spark.read.option("header", True)
         .option("sep", delimiter)
         .option("quote", "")
@@ -78,6 +87,10 @@ def _read_one(spark: SparkSession, path: str, delimiter: str | None, encoding: s
         .csv(path)
         .withColumn("pos", position())
     )
+    if encoding != "cp1252":
+        return rows
+    named = {c: c.translate(str.maketrans(_AS_LATIN, _AS_CP1252)) for c in rows.columns if c != "pos"}
+    return rows.select(*[from_latin(F.col(f"`{c}`")).alias(name) for c, name in named.items()], "pos")
 
 
 @dataclass(frozen=True)
