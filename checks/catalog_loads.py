@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.registry import plain, query
 from checks.views import duck_view as V
 from checks.views import spark_view as view
+from parcelwise.functions.geo import parcel_centroids
 from parcelwise.operators import jurisdiction as J
 from parcelwise.operators import rooms as R
 from parcelwise.operators.facts import land_totals, newest_loaded_year, primary_building, primary_improvement
@@ -18,8 +19,11 @@ from parcelwise.operators.loading import deactivate_other_batches, match_counts,
 from parcelwise.plans import roll_a as A
 from parcelwise.plans import roll_b as B
 from parcelwise.session import shared_folder
+from parcelwise.sinks import manifest
+from parcelwise.sinks.tables import insert_ignore_buckets, read_buckets, upsert_buckets
 from parcelwise.sources import fixed_width as W
 from parcelwise.sources.delimited import Field, Table, apply_table, read_delimited, valid_rows
+from parcelwise.sources.many import scan_aliased
 from parcelwise.sources.pages import adopted_rates, archive_links, newest_archive, page_links
 from parcelwise.sources.parcels import locate, staged_coordinates
 
@@ -618,3 +622,102 @@ def late_encoding(spark, d):
     rows = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("c_custkey"), owner.alias("owner"))
     rows.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
     return read_delimited(spark, path).select(F.col("c_custkey").cast("long"), "owner")
+
+
+@query(
+    "mixed_files",
+    """SELECT CAST(c_custkey AS VARCHAR) AS account,
+              CASE WHEN c_custkey % 3 = 1 AND c_custkey % 100 = 99 THEN concat('MUÑOZ ', c_name) ELSE c_name END AS owner,
+              CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS segment
+       FROM customer""",
+)
+def mixed_files(spark, d):
+    """All customers, dealt over files of three delimiters, two encodings and three headers, read in one scan."""
+    k = F.col("c_custkey")
+    rows = spark.read.parquet(f"{d}/customer.parquet").repartition(4)
+    folder = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    late = F.when(k % 100 == 99, F.concat(F.lit("MUÑOZ "), "c_name")).otherwise(F.col("c_name"))
+    kinds = [
+        ("\t", "UTF-8", [k.alias("ACCT"), F.col("c_name").alias("owner"), F.col("c_mktsegment").alias("segment")]),
+        ("|", "ISO-8859-1", [F.col("c_mktsegment").alias("Segment"), late.alias("Owner_Name"), k.alias("acct")]),
+        (",", "UTF-8", [F.col("c_name").alias("OWNER"), k.alias("account_id")]),
+    ]
+    for n, (sep, encoding, columns) in enumerate(kinds):
+        part = rows.filter(k % 3 == n).select(*columns)
+        part.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(f"{folder}/{n}")
+    sources = {"account": ("account_id", "acct"), "owner": ("owner", "owner_name"), "segment": ("segment",)}
+    return scan_aliased(spark, [f"{folder}/{n}" for n in range(len(kinds))], sources).drop("pos")
+
+
+@query(
+    "published_slices",
+    """WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS county, year(o_orderdate) AS tax_year FROM orders)
+       SELECT 'orders' AS name, county, CAST(tax_year AS INT) AS tax_year, count(*) AS n,
+              CAST(sum(CASE WHEN tax_year = 1995 AND county = 'a' THEN -o_orderkey ELSE o_orderkey END) AS BIGINT) AS keys FROM t GROUP BY 2, 3
+       UNION ALL SELECT 'customer', NULL, NULL, count(*), CAST(sum(2 * c_custkey) AS BIGINT) FROM customer""",
+)
+def published_slices(spark, d):
+    """Orders by slices and customers as a whole, published by a manifest, one slice and the customers again, read back."""
+    folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("k"),
+        F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("county"),
+        F.year("o_orderdate").alias("tax_year"),
+    )
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    slices = {"orders": ("county", "tax_year")}
+    manifest.commit(spark, folder, {"orders": orders, "customer": customers}, slices)
+    again = orders.filter("tax_year = 1995 AND county = 'a'").withColumn("k", -F.col("k"))
+    manifest.commit(spark, folder, {"orders": again, "customer": customers.select((2 * F.col("k")).alias("k"))}, slices)
+    total = [F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys")]
+    by_slice = manifest.read(spark, folder, "orders").groupBy("county", "tax_year").agg(*total)
+    whole = manifest.read(spark, folder, "customer").agg(*total)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = by_slice.select(F.lit("orders").alias("name"), "county", "tax_year", "n", "keys")
+    return rows.unionByName(whole.select(F.lit("customer").alias("name"), null("string").alias("county"), null("int").alias("tax_year"), "n", "keys"))
+
+
+@query(
+    "bucket_upsert",
+    """SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN 'changed' ELSE c_name END AS owner FROM customer
+       UNION ALL SELECT -c_custkey, c_name FROM customer WHERE c_nationkey = 7""",
+)
+def bucket_upsert(spark, d):
+    """Customers in key buckets: those of one nation changed, new keys added, repeated ones ignored; read back."""
+    path = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_name").alias("owner"), "c_nationkey")
+    keep = ["c_custkey", "owner"]
+    upsert_buckets(rows.select(*keep), path, ["c_custkey"], 16)
+    upsert_buckets(rows.filter("c_nationkey = 5").withColumn("owner", F.lit("changed")).select(*keep), path, ["c_custkey"], 16)
+    new = rows.filter("c_nationkey = 7").withColumn("c_custkey", -F.col("c_custkey")).select(*keep)
+    known = rows.filter("c_nationkey = 5").select(*keep)
+    insert_ignore_buckets(new.unionByName(known), path, ["c_custkey"], ["owner"], 16)
+    return read_buckets(spark, path)
+
+
+@query(
+    "multi_ring_centroids",
+    """WITH p AS (SELECT p_partkey, CAST(p_size + 100 AS DOUBLE) AS s, CAST(p_size % 2 = 0 AS INT) AS hole, CAST(p_size % 3 = 0 AS INT) AS part,
+                         CAST(3000000 + p_partkey * 10 AS DOUBLE) AS x, CAST(13800000 + p_size * 7 AS DOUBLE) AS y FROM part),
+            a AS (SELECT *, s * s - hole * s * s / 4 + part * 2500 AS area FROM p)
+       SELECT p_partkey, round((s * s * (x + s / 2) - hole * s * s / 4 * (x + s / 2) + part * 2500 * (x + 525)) / area, 3) AS cx,
+              round((s * s * (y + s / 2) - hole * s * s / 4 * (y + s * 3 / 8) + part * 2500 * (y + 25)) / area, 3) AS cy FROM a""",
+)
+def multi_ring_centroids(spark, d):
+    """Square parcels, some with a square hole, some with a second part."""
+    size, x, y = (F.col("p_size") + 100).cast("double"), (3000000 + F.col("p_partkey") * 10).cast("double"), (13800000 + F.col("p_size") * 7).cast("double")
+
+    def square(left, low, side, turned):
+        corners = [(left, low), (left + side, low), (left + side, low + side), (left, low + side), (left, low)]
+        return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in (corners[::-1] if turned else corners)])
+
+    rings = F.array_compact(
+        F.array(
+            square(x, y, size, True),
+            F.when(F.col("p_size") % 2 == 0, square(x + size / 4, y + size / 8, size / 2, False)),
+            F.when(F.col("p_size") % 3 == 0, square(x + 500, y, F.lit(50.0), True)),
+        )
+    )
+    each = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.explode(rings).alias("ring"))
+    done = parcel_centroids(each, ["p_partkey"])
+    return done.select("p_partkey", F.round("centroid.x", 3).alias("cx"), F.round("centroid.y", 3).alias("cy"))

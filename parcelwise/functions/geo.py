@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,10 @@ def bounding_box(lat: Column, lon: Column, at_lat: Column, at_lon: Column, miles
     return lat.between(at_lat - d_lat, at_lat + d_lat) & lon.between(at_lon - d_lon, at_lon + d_lon)
 
 
-def with_ring_centroid(df: DataFrame, ring: str, out: str = "centroid") -> DataFrame:
-    """Add the area centroid of a closed or open ring ``array<struct<x,y>>`` as ``struct<x,y>``.
+def _with_ring_sums(df: DataFrame, ring: str) -> DataFrame:
+    """Add ``_pts``, the ring shifted to its first point, and ``_sums``: shoelace weight, its moments, sums of points.
 
-    The ring is shifted to its first point before summing, so large planar coordinates keep their
-    digits. A ring without area (a point, a line) falls back to the mean of its points. Each step is
-    a column of its own: the arrays are walked once, whatever refers to the result.
+    Each step is a column of its own: the arrays are walked once, whatever refers to the result.
     """
     origin = F.element_at(F.col(ring), 1)
     shifted = F.transform(
@@ -84,13 +83,22 @@ def with_ring_centroid(df: DataFrame, ring: str, out: str = "centroid") -> DataF
             (acc["y"] + e["y"]).alias("y"),
         ),
     )
+    return df.withColumn("_pts", F.when(F.size(ring) > 0, shifted)).withColumn("_sums", sums)
+
+
+def with_ring_centroid(df: DataFrame, ring: str, out: str = "centroid") -> DataFrame:
+    """Add the area centroid of a closed or open ring ``array<struct<x,y>>`` as ``struct<x,y>``.
+
+    The ring is shifted to its first point before summing, so large planar coordinates keep their
+    digits. A ring without area (a point, a line) falls back to the mean of its points.
+    """
+    origin = F.element_at(F.col(ring), 1)
     m, n = F.col("_sums"), F.size("_pts")
     # The shoelace weights add up to twice the area.
     cx = F.when(m["w"] != 0, m["mx"] / (3 * m["w"])).otherwise(m["x"] / n)
     cy = F.when(m["w"] != 0, m["my"] / (3 * m["w"])).otherwise(m["y"] / n)
     return (
-        df.withColumn("_pts", F.when(F.size(ring) > 0, shifted))
-        .withColumn("_sums", sums)
+        _with_ring_sums(df, ring)
         .withColumn(
             out,
             F.when(
@@ -102,6 +110,36 @@ def with_ring_centroid(df: DataFrame, ring: str, out: str = "centroid") -> DataF
     )
 
 
+def parcel_centroids(rings: DataFrame, keys: Sequence[str], ring: str = "ring", hole: str | None = None, out: str = "centroid") -> DataFrame:
+    """The area centroid of every parcel of several rings, one row of ``rings`` per ring: ``keys`` and ``out``.
+
+    Areas and moments are signed and add up, so a ring that runs the other way round is a hole and takes its area off, as the
+    shape format has it; with ``hole``, a boolean column, that says it and directions do not matter. The sums are combined map-side, so
+    a parcel of a million rings is one row of each task. Parcels without area have the mean of their points; rings without
+    points add nothing, and a parcel of nothing else has a null centroid.
+    """
+    origin, m = F.element_at(F.col(ring), 1), F.col("_sums")
+    sign = F.lit(1.0)
+    if hole is not None:
+        turn = F.when(m["w"] < 0, -1.0).otherwise(1.0)
+        sign = F.when(F.coalesce(hole, F.lit(False)), -turn).otherwise(turn)
+    n = F.size("_pts")
+    parts = {
+        "w": sign * m["w"],
+        "mx": sign * (m["mx"] / 3 + m["w"] * origin["x"]),
+        "my": sign * (m["my"] / 3 + m["w"] * origin["y"]),
+        "x": m["x"] + n * origin["x"],
+        "y": m["y"] + n * origin["y"],
+        "n": n,
+    }
+    have = F.size(ring) > 0
+    summed = _with_ring_sums(rings, ring).groupBy(*keys).agg(*[F.sum(F.when(have, c)).alias(f"_{name}") for name, c in parts.items()])
+    at = lambda m, p: F.when(F.col("_w") != 0, F.col(m) / F.col("_w")).otherwise(F.col(p) / F.col("_n"))
+    centre = F.struct(at("_mx", "_x").alias("x"), at("_my", "_y").alias("y"))
+    return summed.select(*keys, F.when(F.col("_n") > 0, centre).alias(out))
+
+
+
 # Published parameters of EPSG:2277 (NAD83 / Texas Central, US survey feet).
 TEXAS_CENTRAL = {
     "semi_major_m": 6378137.0,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import columns as K
-from parcelwise.functions.geo import SYSTEMS, lambert_to_wgs84, with_ring_centroid
+from parcelwise.functions.geo import SYSTEMS, lambert_to_wgs84, parcel_centroids, with_ring_centroid
 from parcelwise.sources.delimited import resolve
 
 # Column names under which a parcel table may carry its account and parcel id.
@@ -19,8 +21,16 @@ def locate(parcels: DataFrame, crs: str, ring: str = "ring") -> DataFrame:
 
     The counties publish in different systems (A in EPSG:2278, B in EPSG:2277), so there is no default.
     """
+    return _to_degrees(with_ring_centroid(parcels, ring, "_c"), crs)
+
+
+def locate_rings(rings: DataFrame, keys: Sequence[str], crs: str, ring: str = "ring", hole: str | None = None) -> DataFrame:
+    """``keys``, ``latitude``, ``longitude`` of parcels given as one row per ring: holes and separate parts count by area."""
+    return _to_degrees(parcel_centroids(rings, keys, ring, hole, "_c"), crs)
+
+
+def _to_degrees(centre: DataFrame, crs: str) -> DataFrame:
     system = SYSTEMS[crs]
-    centre = with_ring_centroid(parcels, ring, "_c")
     if system is not None:
         centre = centre.withColumn("_g", lambert_to_wgs84(F.col("_c.x"), F.col("_c.y"), system))
         return centre.withColumns({"latitude": F.col("_g.lat"), "longitude": F.col("_g.lon")}).drop("_c", "_g")
