@@ -62,13 +62,13 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_size % 13 <> 0 THEN 1 + p_size % 6 END AS bedrooms,
                cast(cast(2 + p_size % 5 AS double) / 2 AS decimal(4,2)) AS bathrooms,
                p_size % 2 AS half_baths,
-               p_partkey % 19 <> 3 AS is_active,
+               p_partkey % 19 <> 3 AND p_size % 10 <> 0 AS is_active,
                concat('b', cast(p_size % 3 AS string)) AS import_batch_id
-        FROM {part} WHERE p_size % 10 <> 0
+        FROM {part}
         UNION ALL
         SELECT cast(p_partkey AS string), 2, p_brand, p_type, '', 'C', '', 1950, 1960, NULL,
-               cast(p_retailprice * 3 AS decimal(10,2)), cast(1 AS decimal(4,2)), NULL, NULL, 0, true, 'b9'
-        FROM {part} WHERE p_partkey % 7 = 0""",
+               cast(p_retailprice * 3 AS decimal(10,2)), cast(1 AS decimal(4,2)), NULL, NULL, 0, p_partkey % 7 = 0, 'b9'
+        FROM {part}""",
     "v_feature": """
         SELECT cast(l_partkey AS string) AS account_number,
                concat(l_returnflag, l_linestatus) AS feature_code,
@@ -79,7 +79,7 @@ VIEWS: dict[str, str] = {
     # ---- county B tables
     "v_account_b": """
         SELECT lpad(cast(c_custkey AS string), 12, '0') AS prop_id,
-               2024 + y AS tax_year,
+               2024 + CASE WHEN c_custkey % 5 = 0 THEN -y ELSE y END AS tax_year,
                c_name AS owner_name,
                CASE WHEN c_custkey % 6 = 0 THEN '' ELSE concat(cast(c_custkey % 700 AS string), ' OAK') END AS situs_address,
                concat('TOWN ', cast(c_nationkey AS string)) AS situs_city,
@@ -90,27 +90,24 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 12 <> 0 THEN cast(900 + (c_custkey % 211) * 10 AS decimal(10,2)) END AS living_area,
                1970 + cast(c_custkey % 50 AS int) AS year_built,
                concat('R', cast(c_custkey % 6 AS string), 'x') AS class_code
-        FROM {customer}
-        WHERE y = 0 OR c_custkey % 5 <> 0""",
+        FROM {customer}""",
     "v_improvement_b": """
         SELECT lpad(cast(p_partkey AS string), 12, '0') AS prop_id,
                cast(n AS string) AS imp_id,
                2024 + y AS tax_year,
-               CASE WHEN (p_size + n) % 5 = 0 THEN 'C' ELSE 'R' END AS improvement_type,
+               CASE WHEN p_size % 8 = 0 THEN '' WHEN (p_size + n) % 5 = 0 THEN 'C' ELSE 'R' END AS improvement_type,
                CASE WHEN (p_size + n) % 3 = 0 THEN NULL ELSE 1960 + p_size END AS year_built
-        FROM {part}
-        WHERE p_size % 8 <> 0""",
+        FROM {part}""",
     "v_characteristic_b": """
         SELECT lpad(cast(p_partkey AS string), 12, '0') AS prop_id,
-               cast(1 + p_size % 2 AS string) AS imp_id,
+               CASE WHEN p_size % 9 = 1 THEN '9' ELSE cast(1 + p_size % 2 AS string) END AS imp_id,
                2024 + y AS tax_year,
                1 + p_size % 5 AS bedrooms,
                cast(1 + p_size % 3 AS decimal(4,2)) AS bathrooms,
                substr('BRVNSTFR', 1 + p_size % 7, 2) AS exterior_wall,
                p_type AS construction_style,
                'SLAB' AS foundation
-        FROM {part}
-        WHERE p_size % 9 <> 1""",
+        FROM {part}""",
     "v_detail_b": """
         SELECT lpad(cast(l_partkey AS string), 12, '0') AS prop_id,
                cast(1 + l_linenumber % 2 AS string) AS imp_id,
@@ -146,11 +143,11 @@ VIEWS: dict[str, str] = {
                CASE min(o_orderstatus) WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' ELSE 'Pending' END AS cap_account
         FROM {orders} GROUP BY o_custkey, year(o_orderdate)""",
     "v_unit_rate": """
-        SELECT 2000 AS tax_year, cast(s_suppkey AS string) AS tax_unit_code, 'harris' AS county,
+        SELECT CASE WHEN s_suppkey % 9 = 4 THEN 1999 ELSE 2000 END AS tax_year, cast(s_suppkey AS string) AS tax_unit_code, 'harris' AS county,
                s_name AS tax_unit_name,
                cast((s_suppkey % 97 + 1) AS decimal(12,8)) / 10000 AS adopted_rate_raw,
                cast(cast(s_suppkey % 97 + 1 AS double) / 10000 AS decimal(12,8)) AS adopted_rate
-        FROM {supplier} WHERE s_suppkey % 9 <> 4""",
+        FROM {supplier}""",
     "v_jur": """
         SELECT account_number, 2000 AS tax_year, 'harris' AS county, tax_unit_code, tax_unit_name, exemption_code,
                exemption_description, exemption_amount, exemption_percent, taxable_value
@@ -176,8 +173,8 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
     "v_tax_history": """
         SELECT 'harris' AS county, cast(o_orderkey AS string) AS account_number, 2000 AS tax_year,
-               cast(o_totalprice AS decimal(14,2)) AS assessed_value
-        FROM {orders} WHERE o_orderkey % 7 <> 0""",
+               CASE WHEN o_orderkey % 7 <> 0 THEN cast(o_totalprice AS decimal(14,2)) END AS assessed_value
+        FROM {orders}""",
     # ---- raw, all-text rows as a file scan would give them
     "v_raw_account": """
         SELECT cast(c_custkey AS string) AS acct, concat('  ', c_name, ' ') AS mailto,
@@ -243,14 +240,14 @@ VIEWS: dict[str, str] = {
                [position] AS pos
         FROM {lineitem}""",
     "v_exempt": """
-        SELECT cast(l_orderkey AS string) AS account_number, cast(l_suppkey AS string) AS tax_unit_code,
+        SELECT cast(l_orderkey AS string) AS account_number, CASE WHEN l_linenumber % 2 = 0 THEN cast(l_suppkey AS string) ELSE '' END AS tax_unit_code,
                concat(l_returnflag, l_linestatus) AS exemption_code,
                concat('Exemption ', l_returnflag) AS description,
                cast(l_quantity * 100 AS decimal(14,2)) AS amount,
                [position] AS pos
-        FROM {lineitem} WHERE l_linenumber % 2 = 0""",
+        FROM {lineitem}""",
     "v_unit_name": """
-        SELECT cast(s_suppkey AS string) AS tax_unit_code, s_name AS tax_unit_name FROM {supplier} WHERE s_suppkey % 8 <> 0""",
+        SELECT cast(s_suppkey AS string) AS tax_unit_code, CASE WHEN s_suppkey % 8 <> 0 THEN s_name ELSE '' END AS tax_unit_name FROM {supplier}""",
     "v_rate_file": """
         SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'Personal' ELSE ' real' END AS RP_TYPE,
                cast(l_suppkey AS string) AS tax_dist,
