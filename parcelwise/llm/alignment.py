@@ -18,6 +18,7 @@ carried along, so none can clash. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import stage
-from parcelwise.llm.packing import Encoder, default_tokenizer
+from parcelwise.llm.packing import default_tokenizer, encoder
 
 #: At most so many pairs of ids are sent to every executor: some megabytes.
 HEAVY = 50_000
@@ -51,7 +52,7 @@ class ByteTokens:
     """A byte-level vocabulary, given as ranks."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
+        self.encoder = encoder(path)
         size = self.encoder.encoding.max_token_value + 1
         self.bytes = [b""] * size
         for token in self.encoder.encoding.token_byte_values():
@@ -86,6 +87,13 @@ class PieceTokens:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
+@functools.lru_cache(maxsize=2)
+def _vocabularies(ranks: str, pieces: str) -> tuple[ByteTokens, PieceTokens, tuple[np.ndarray, np.ndarray]]:
+    """Both sides and the names of their ids, loaded once in a Python worker."""
+    a, b = ByteTokens(ranks), PieceTokens(pieces)
+    return a, b, (_named(len(a.bytes)), _named(len(b.bytes)))
+
+
 def _tokens(texts: list[str | None], a, b) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both sides; none where a text has none or is not spelled by both."""
     none = np.zeros(0, dtype="int64")
@@ -228,8 +236,7 @@ def align(
     columns = SCHEMA | DETAIL if detail else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteTokens(paths[0]), PieceTokens(paths[1])
-        names = _named(len(a.bytes)), _named(len(b.bytes))
+        a, b, names = _vocabularies(*paths)
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for first, stop in _slices(texts):

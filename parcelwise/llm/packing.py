@@ -17,6 +17,7 @@ not carried along. An empty table packs to no sequence.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -73,6 +74,12 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, added: bool = False) -> Encoder:
+    """The encoder of a vocabulary, loaded once in a Python worker, however many tasks it runs."""
+    return Encoder(path, added)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -87,12 +94,12 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokeni
     path = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = Encoder(path, added), 0
+        known, at = encoder(path, added), 0
         for batch in batches:
             # Small slices keep the ids of long texts from piling up.
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
-                ids = [np.append(encoder.encode(t.as_py() or ""), np.uint32(end)) for t in rows.column("t")]
+                ids = [np.append(known.encode(t.as_py() or ""), np.uint32(end)) for t in rows.column("t")]
                 n = np.array([len(x) for x in ids], dtype="int64")
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
