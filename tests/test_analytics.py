@@ -250,3 +250,11 @@ def test_county_b_uses_newest_year_and_primary_improvement(spark):
     # c is known in 2024 only and is compared with the rows of that year.
     got = {(r["subject_key"], r["comp_key"], r["scope"]) for r in comps.collect()}
     assert got == {("a", "b", 2025), ("b", "a", 2025), ("c", "a", 2024), ("c", "b", 2024)}
+
+
+def test_exemptions_are_folded_once(spark):
+    """The fold is the work of the tax queries: the trail's plan holds it once."""
+    from checks.catalog_years import exemption_trail
+
+    plan = exemption_trail(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(records") == 1, plan
