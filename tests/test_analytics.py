@@ -110,6 +110,22 @@ def test_histogram_of_equal_values(spark):
     assert len(rows) == 4 and [r["comp_count"] for r in rows] == [3, 0, 0, 0] and rows[-1]["bin_high"] == 6.0
 
 
+def _joins_and_sources(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join "), plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+
+def test_histogram_makes_its_comps_once(spark):
+    _, c = _equity(spark, (1.0, 1.0), [10, 11, 12, 19, 20, 20])
+    c = c.union(c.select("scope", F.lit("t"), "comp_key", "similarity_score", F.lit(None).cast("double")))
+    rows = E.ppsf_histogram(c, bins=5)
+    assert _joins_and_sources(rows.where("subject_key = 's'")) == _joins_and_sources(c.where("subject_key = 's'"))
+    assert [tuple(r) for r in rows.orderBy("bin").collect()] == [
+        (0, "s", 0, 2, 10.0, 12.0), (0, "s", 1, 1, 12.0, 14.0), (0, "s", 2, 0, 14.0, 16.0), (0, "s", 3, 0, 16.0, 18.0), (0, "s", 4, 3, 18.0, 20.0),
+    ]
+    assert dict(rows.dtypes) == {"scope": "int", "subject_key": "string", "bin": "int", "comp_count": "bigint", "bin_low": "double", "bin_high": "double"}
+
+
 HIST = "account_number string, tax_year int, county string, assessed_value decimal(14,2), appraised_value decimal(14,2), market_value decimal(14,2), prior_appraised_value decimal(14,2), prior_market_value decimal(14,2), new_construction_value decimal(14,2), cap_account string"
 
 
