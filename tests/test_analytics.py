@@ -77,6 +77,11 @@ def _equity(spark, subject, comps):
     return s, c
 
 
+def _joins_and_sources(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join "), plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+
 def test_equity_case(spark):
     s, c = _equity(spark, (370000.0, 2000.0), [160, 170])
     row = E.equity_summary(c, s).first()
@@ -84,6 +89,15 @@ def test_equity_case(spark):
     assert row["estimated_savings"] == 40000 and row["median_assessed_value"] == D("330000") and row["comps_below_subject"] == 2
 
 
+def test_equity_sorts_prices_in_one_join(spark):
+    s, c = _equity(spark, (150000.0, 1000.0), [170, 150, 10, 160, 20])
+    c = c.union(c.limit(1).withColumn("value_per_sqft", F.lit(None).cast("double")))
+    # One join, of subjects with the prices of their comps; comps do not meet their subjects row by row.
+    assert _joins_and_sources(E.equity_summary(c, s))[0] == 1
+    row = E.equity_summary(c, s).first()
+    assert (row["median_comp_value_per_sqft"], row["comps_below_subject"], row["qualifying_comp_count"]) == (150, 2, 5)
+
+
 def test_equity_without_comps(spark):
     s, c = _equity(spark, (370000.0, 2000.0), [])
     row = E.equity_summary(c, s).first()
@@ -110,11 +124,6 @@ def test_histogram_of_equal_values(spark):
     assert len(rows) == 4 and [r["comp_count"] for r in rows] == [3, 0, 0, 0] and rows[-1]["bin_high"] == 6.0
 
 
-def _joins_and_sources(df):
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return plan.count("Join "), plan.count("LogicalRDD") + plan.count("LocalRelation")
-
-
 def test_histogram_makes_its_comps_once(spark):
     _, c = _equity(spark, (1.0, 1.0), [10, 11, 12, 19, 20, 20])
     c = c.union(c.select("scope", F.lit("t"), "comp_key", "similarity_score", F.lit(None).cast("double")))
