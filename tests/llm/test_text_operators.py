@@ -1,6 +1,7 @@
 """The text operators on small tables: results by brute force, and the cases their docstrings define."""
 
 import collections
+import os
 import re
 import zlib
 
@@ -383,6 +384,42 @@ def test_html_template_across_runs(spark, monkeypatch):
     assert got == {i: f"own {i}" for i in range(300)}
 
 
+def _outward(pages):
+    """Kept lines of ``(host, path, lines)`` by the definition, without any reach."""
+    made = [htmltext._Page(i, h, p, np.array([hash(x) for x in ls]), np.array([len(x.split()) for x in ls])) for i, (h, p, ls) in enumerate(pages)]
+    order = sorted(made, key=lambda p: (p.host, p.path, p.row))
+    out = {}
+    for at, page in enumerate(order):
+        common = lambda k: len(os.path.commonprefix([page.path, order[k].path]))  # noqa: E731, B023
+        others = sorted((-common(k), k < at, abs(k - at), k) for k in range(len(order)) if k != at and order[k].host == page.host)
+        taken = []
+        for *_, k in others:
+            if len(taken) < 2 and not any(order[k].copies(p) for p in (page, *taken)):
+                taken.append(order[k])
+        kept = htmltext.kept_lines(page.lines, [p.lines for p in taken])
+        lines = pages[page.row][2]
+        out[page.row] = "\n".join(x for x, y in zip(lines, kept or [True] * len(lines), strict=True) if y)
+    return out
+
+
+def test_html_template_beyond_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "RUN", 8)
+    monkeypatch.setattr(htmltext, "REACH", 3)
+    near = lambda i: ["top", *[f"same {k}" for k in range(9)], f"own {i}", "end"]
+    pages = [("a.net", f"/c/{i:03d}", ["top", "the very same", "end"]) for i in range(60)]
+    pages += [("a.net", f"/c/{i:03d}", near(i)) for i in range(60, 100)]
+    pages += [("a.net", f"/x/{i}", ["top", f"other {i}", "and more", "end"]) for i in range(3)]
+    pages += [("b.net", f"/{i:02d}", near(i)) for i in range(40)] + [("c.net", f"/{i:02d}", near(i)) for i in range(30)] + [("c.net", "/99", ["top", "z", "end"])]
+    rng = np.random.default_rng(3)
+    kinds = [["top", *[f"kind {k} line {j}" for j in range(6)], "end"] for k in range(3)]
+    pages += [("d.net", "/" + "".join(rng.choice(list("ab"), 5)) + str(i), [*kinds[rng.choice(3, p=[0.9, 0.06, 0.04])], f"own {i % 7}"]) for i in range(120)]
+    rows = [(i, f"http://{h}{p}", "".join(f"<p>{x}</p>" for x in ls)) for i, (h, p, ls) in enumerate(pages)]
+    got = {r["page"]["id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "id long, url string, html string").repartition(5)).collect()}
+    assert got[0] == "the very same" and got[59] == "the very same"
+    want = _outward(pages)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
